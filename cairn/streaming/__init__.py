@@ -1,0 +1 @@
+"""The streaming of the library."""
