@@ -39,11 +39,12 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
 
 def repeated_words(words: Column, size: int = 3) -> Column:
     """How many words stand in a window of `size` words that occurs twice or more. Windows are sorted with their places, so the cost is n log n at any length."""
+    joined = "concat_ws(' ', " + ", ".join(f"{{w}}[i + {k}]" for k in range(size)) + ")"
     return F.expr(f"""
       CASE WHEN size({{w}}) <= {size} THEN 0L ELSE
         aggregate(transform(array(sort_array(transform(array(sort_array(transform(
             sequence(0, size({{w}}) - {size}),
-            i -> struct(array_join(slice({{w}}, i + 1, {size}), ' ') AS s, i AS i)))),
+            i -> struct({joined} AS s, i AS i)))),
           x -> transform(filter(x, (e, k) -> (k > 0 AND get(x, k - 1).s = e.s) OR get(x, k + 1).s = e.s), e -> e.i))[0])),
           p -> aggregate(transform(p, (e, k) -> least({size}, coalesce(get(p, k + 1) - e, {size}))), 0L, (a, e) -> a + e)),
         0L, (a, e) -> a + e) END""".replace("{w}", words))
