@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
@@ -26,13 +26,13 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     Links that are null on a side or join a node to itself count for nothing; repeated links and both directions are one link.
     """
     one = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b")
-    both = _settle(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    both = settle(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         nearer = labels.join(near, labels.node == near.a).select("node", F.least("component", "m").alias("via"), F.col("component").alias("old"))
-        nearer = _settle(nearer)
+        nearer = settle(nearer)
         if nearer.where("via <> old").isEmpty():
             return labels
         ahead = nearer.select(F.col("node").alias("via"), F.col("via").alias("next"))
-        labels = _settle(nearer.join(ahead, "via").select("node", F.col("next").alias("component")))
+        labels = settle(nearer.join(ahead, "via").select("node", F.col("next").alias("component")))

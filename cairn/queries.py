@@ -1,15 +1,371 @@
-"""Registered queries of the graph engine."""
+"""Registered queries of the graph engine, each with the SQL it has to agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cairn import schema
+from cairn.functions import scalars
+from cairn.operators import linkers, metrics, views, walk
+from cairn.plans import derived
 
-def queries():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
 
+TABLE = "SELECT min(uid) AS uid FROM g_nodes WHERE kind = 'Table'"
+BRAND = "SELECT min(uid) AS uid FROM g_nodes WHERE kind = 'ApiOperation'"
+CLASS = "SELECT min(src) AS uid FROM g_edges WHERE kind = 'Produces'"
+FUNCTION = "SELECT min(dst) AS uid FROM g_edges WHERE kind = 'Calls' AND provenance = 'Extracted'"
 
-def oracle_sql():
-    return {}
+
+def query(oracle: str | None = None, graph: bool = True):
+    """Register a query under its name; `graph` puts the derived graph before its SQL."""
+
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLE[f.__name__] = f"{derived.ORACLE}\n{oracle}" if graph else oracle
+        return f
+
+    return register
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _least(df: DataFrame, column: str = "uid") -> DataFrame:
+    return df.agg(F.min(column).alias("uid"))
+
+
+def _targets(spark, sf_dir, what: str):
+    nodes, edges = derived.graph(spark, sf_dir)
+    if what in ("Table", "ApiOperation", "Function", "Class"):
+        one = {"Table": lambda: _least(nodes.where("kind = 'Table'")), "ApiOperation": lambda: _least(nodes.where("kind = 'ApiOperation'")), "Class": lambda: _least(edges.where("kind = 'Produces'"), "src"), "Function": lambda: _least(edges.where("kind = 'Calls' and provenance = 'Extracted'"), "dst")}[what]()
+    return nodes, edges, one
+
+
+def _quoted(kinds) -> str:
+    return ", ".join(f"'{k}'" for k in kinds)
+
+
+def impact_sql(targets: str, depth: int = 5, least: float = 0.0, contracts: bool = True, infra: bool = True) -> str:
+    """CTEs impact(target, uid, name, depth, confidence, ambiguous, will_break) by unrolled levels."""
+    kinds = _quoted(walk.Options(infra=infra).kinds())
+    out = [f"t AS MATERIALIZED (SELECT DISTINCT uid AS target, uid FROM ({targets}))"]
+
+    def levels(name: str, start: str) -> None:
+        """Tables name_1..name_depth of states, from start(target, uid, amb, conf, depth)."""
+        for d in range(depth):
+            before = f"SELECT target, uid, amb, conf FROM {start} WHERE depth = {d}" + (f" UNION ALL SELECT target, uid, amb, conf FROM {name}_{d}" if d else "")
+            out.append(
+                f"{name}_{d + 1} AS MATERIALIZED (SELECT f.target, e.src AS uid, (f.amb OR e.provenance = 'Ambiguous') AS amb, max(CAST(f.conf * e.confidence AS FLOAT)) AS conf, {d + 1} AS depth"
+                f" FROM ({before}) f JOIN g_edges e ON e.dst = f.uid WHERE e.kind IN ({kinds}) AND CAST(f.conf * e.confidence AS FLOAT) >= CAST({least} AS FLOAT) GROUP BY 1, 2, 3)"
+            )
+
+    union = lambda name: " UNION ALL ".join(f"SELECT * FROM {name}_{d + 1}" for d in range(depth))
+    out.append("t0 AS MATERIALIZED (SELECT target, uid, FALSE AS amb, CAST(1.0 AS FLOAT) AS conf, 0 AS depth FROM t)")
+    levels("w", "t0")
+    states = union("w")
+    if contracts:
+        out.append(f"m1 AS MATERIALIZED (SELECT target, uid, bool_or(amb) AS amb, max(conf) AS conf, min(depth) AS depth FROM ({states}) GROUP BY 1, 2)")
+        out.append(f"seeds AS MATERIALIZED (SELECT * FROM m1 WHERE depth < {depth} UNION ALL SELECT * FROM t0)")
+        out.append(f"ops AS MATERIALIZED (SELECT s.target, e.dst AS uid, (s.amb OR e.provenance = 'Ambiguous') AS amb, CAST(s.conf * e.confidence AS FLOAT) AS conf, s.depth + 1 AS depth FROM seeds s JOIN g_edges e ON e.src = s.uid AND e.kind = 'Produces' WHERE CAST(s.conf * e.confidence AS FLOAT) >= CAST({least} AS FLOAT))")
+        out.append("own AS MATERIALIZED (SELECT t0.* FROM t0 WHERE uid IN (SELECT uid FROM g_nodes WHERE kind IN ('ApiOperation', 'GraphqlField')))")
+        out.append(
+            f"more AS MATERIALIZED (SELECT target, uid, amb, max(conf) AS conf, depth FROM (SELECT o.target, e.src AS uid, (o.amb OR e.provenance = 'Ambiguous') AS amb, CAST(o.conf * e.confidence AS FLOAT) AS conf, o.depth + 1 AS depth"
+            f" FROM (SELECT * FROM ops UNION ALL SELECT * FROM own) o JOIN g_edges e ON e.dst = o.uid AND e.kind = 'Consumes' UNION ALL SELECT o.target, e.src, e.provenance = 'Ambiguous', e.confidence, 1 FROM own o JOIN g_edges e ON e.dst = o.uid AND e.kind = 'Produces')"
+            f" WHERE conf >= CAST({least} AS FLOAT) AND depth <= {depth} GROUP BY 1, 2, 3, 5)"
+        )
+        levels("x", "more")
+        states += f" UNION ALL SELECT * FROM ops UNION ALL SELECT * FROM more UNION ALL {union('x')}"
+    out.append(f"found AS MATERIALIZED (SELECT target, uid, min(depth) AS depth, max(conf) AS confidence, bool_or(amb) AS ambiguous FROM ({states}) WHERE uid <> target GROUP BY 1, 2)")
+    out.append("impact AS MATERIALIZED (SELECT f.target, f.uid, n.name, f.depth, f.confidence, f.ambiguous, (f.confidence >= CAST(0.40 AS FLOAT) AND NOT f.ambiguous) AS will_break FROM found f JOIN (SELECT uid, min(name) AS name FROM g_nodes GROUP BY uid) n ON n.uid = f.uid)")
+    return ", " + ",\n".join(out)
+
+
+def _impact(what: str, options: walk.Options):
+    def run(spark, sf_dir):
+        nodes, edges, one = _targets(spark, sf_dir, what)
+        return walk.impact(nodes, edges, one, options)
+
+    return run
+
+
+for _name, _what, _sql, _o in (
+    ("impact_code", "Table", TABLE, walk.Options(contracts=False)),
+    ("impact_full", "Table", TABLE, walk.Options()),
+    ("impact_contract_hop", "Class", CLASS, walk.Options()),
+    ("impact_contract_target", "ApiOperation", BRAND, walk.Options()),
+    ("impact_min_conf", "Table", TABLE, walk.Options(min_confidence=0.3)),
+    ("impact_no_infra", "Function", FUNCTION, walk.Options(infra=False, depth=4)),
+):
+    _QUERIES[_name] = _impact(_what, _o)
+    _ORACLE[_name] = derived.ORACLE + impact_sql(_sql, _o.depth, _o.min_confidence, _o.contracts, _o.infra) + " SELECT * FROM impact"
+
+
+@query(impact_sql(FUNCTION, 4, contracts=False) + " SELECT target, uid, confidence AS explained, confidence AS impact_confidence FROM impact")
+def explain_best_path(spark, sf_dir):
+    """The last running confidence of each explanation, beside that of impact."""
+    nodes, edges, one = _targets(spark, sf_dir, "Function")
+    options = walk.Options(depth=4, contracts=False)
+    hops = walk.explain(nodes, edges, one, options)
+    last = hops.groupBy("target", "uid").agg(F.max_by("running_confidence", "hop").alias("explained"))
+    found = walk.impact(nodes, edges, one, options).select("target", "uid", F.col("confidence").alias("impact_confidence"))
+    return last.join(found, ["target", "uid"])
+
+
+_CASES = " ".join(f"WHEN kind = '{k}' AND way = '{w}' THEN '{b}'" for b, k, w in views.BUCKETS)
+
+
+@query(f", me AS ({FUNCTION}), s AS (SELECT kind, 'out' AS way, dst AS uid FROM g_edges WHERE src = (SELECT uid FROM me) UNION ALL SELECT kind, 'in', src FROM g_edges WHERE dst = (SELECT uid FROM me)), b AS (SELECT DISTINCT CASE {_CASES} END AS bucket, uid FROM s) SELECT b.bucket, n.uid, n.name, n.kind, n.path FROM b JOIN g_nodes n ON n.uid = b.uid WHERE b.bucket IS NOT NULL")
+def context_buckets(spark, sf_dir):
+    nodes, edges, one = _targets(spark, sf_dir, "Function")
+    return views.context(nodes, edges, one.first()["uid"])
+
+
+@query("SELECT uid, kind, name, fqn, path FROM g_nodes WHERE contains(lower(name), 'brand#1') OR contains(lower(fqn), 'brand#1') OR contains(lower(path), 'brand#1')")
+def query_substring(spark, sf_dir):
+    return views.query(derived.graph(spark, sf_dir)[0], "Brand#1")
+
+
+@query(", s AS (SELECT concat('C', c_custkey) AS symbol FROM customer WHERE c_custkey % 100 = 0 UNION SELECT concat('s', p_size) FROM part WHERE p_partkey % 97 = 0), h AS (SELECT symbol, uid, 1 AS tier FROM s JOIN g_nodes ON fqn = symbol UNION ALL SELECT symbol, uid, 2 FROM s JOIN g_nodes ON name = symbol), r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY tier) AS r FROM h) SELECT symbol, uid, tier, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE r = 1")
+def resolve_symbol_tiers(spark, sf_dir):
+    a = _t(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"))
+    b = _t(spark, sf_dir, "part").where("p_partkey % 97 = 0").select(F.concat(F.lit("s"), "p_size").alias("symbol"))
+    return views.resolve(derived.graph(spark, sf_dir)[0], a.union(b)).select("symbol", "uid", "tier", "n")
+
+
+@query("SELECT uid, name FROM g_nodes WHERE kind IN ('ApiOperation', 'GraphqlField') AND uid NOT IN (SELECT dst FROM g_edges WHERE kind IN ('Produces', 'Consumes') AND src LIKE '%1|')")
+def dead_surface(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    return views.dead_surface(nodes, edges.where("src like '%1|'")).select("uid", "name")
+
+
+@query(", quiet AS (SELECT uid FROM g_nodes WHERE kind = 'Repo'), mm AS (SELECT DISTINCT q.uid AS target, e.dst AS uid FROM (SELECT uid FROM g_nodes WHERE kind = 'Module' AND uid NOT IN (SELECT dst FROM g_edges WHERE kind NOT IN ('Defines', 'MemberOf', 'Produces', 'Consumes', 'Contains'))) q JOIN g_edges e ON e.src = q.uid AND e.kind IN ('Defines', 'Contains', 'HasColumn')) SELECT DISTINCT mm.target, mm.uid AS member, n.name FROM mm JOIN g_nodes n ON n.uid = mm.uid JOIN g_edges e ON e.dst = mm.uid AND e.kind IN (" + _quoted(walk.Options(depth=1, contracts=False).kinds()) + ") AND e.src <> mm.target")
+def members_with_dependents(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    return walk.members_with_dependents(nodes, edges, nodes.where("kind = 'Module'"), walk.Options(depth=1, contracts=False))
+
+
+@query(f", b AS MATERIALIZED (SELECT src AS here, dst AS there FROM g_edges WHERE kind IN ('Calls', 'Produces') UNION SELECT dst, src FROM g_edges WHERE kind IN ('Calls', 'Produces')), s0 AS ({FUNCTION}), s1 AS (SELECT DISTINCT there AS uid FROM b WHERE here IN (SELECT uid FROM s0)), s2 AS (SELECT DISTINCT there AS uid FROM b WHERE here IN (SELECT uid FROM s1)), a AS (SELECT uid, 0 AS depth FROM s0 UNION ALL SELECT uid, 1 FROM s1 UNION ALL SELECT uid, 2 FROM s2) SELECT a.uid, min(a.depth) AS depth, n.kind FROM a JOIN g_nodes n ON n.uid = a.uid GROUP BY a.uid, n.kind")
+def subgraph_d2(spark, sf_dir):
+    nodes, edges, one = _targets(spark, sf_dir, "Function")
+    return walk.subgraph(nodes, edges, one.first()["uid"], 2, ("Calls", "Produces"), most=1_000_000)[0].select("uid", "depth", "kind")
+
+
+_OWN = "SELECT uid FROM g_nodes WHERE path <> '' AND path = (SELECT min(path) FROM g_nodes WHERE kind = 'Function') AND kind NOT IN ('Repo', 'Package', 'File', 'Module', 'Doc', 'DocSection')"
+
+
+def _first_file(nodes):
+    return nodes.where("kind = 'Function'").agg(F.min("path").alias("p")).first()["p"]
+
+
+@query(impact_sql(_OWN, 2) + f" SELECT uid, name, min(depth) AS depth, max(confidence) AS confidence, bool_or(ambiguous) AS ambiguous, (max(confidence) >= CAST(0.40 AS FLOAT) AND NOT bool_or(ambiguous)) AS will_break FROM impact WHERE uid NOT IN ({_OWN}) GROUP BY uid, name")
+def blast_file(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    return views.blast(nodes, edges, _first_file(nodes), walk.Options(depth=2))[0]
+
+
+@query(impact_sql(_OWN, 2) + f", a AS (SELECT DISTINCT i.uid, n.kind, split_part(i.uid, '|', 2) AS pkg FROM impact i JOIN g_nodes n ON n.uid = i.uid WHERE i.uid NOT IN ({_OWN})), s AS (SELECT count(*) AS n_affected, coalesce(bool_or(kind IN ('ApiOperation', 'GraphqlField')), FALSE) AS op, coalesce(bool_or(pkg NOT IN (SELECT split_part(uid, '|', 2) FROM ({_OWN}))), FALSE) AS away FROM a) SELECT CASE WHEN op OR away THEN 'CRITICAL' WHEN n_affected < 5 THEN 'LOW' WHEN n_affected <= 15 THEN 'MEDIUM' ELSE 'HIGH' END AS level, n_affected, concat_ws('; ', CASE WHEN op THEN 'affects an operation' END, CASE WHEN away THEN 'crosses packages' END) AS reasons FROM s")
+def risk_level(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    return views.blast(nodes, edges, _first_file(nodes), walk.Options(depth=2))[1]
+
+
+@query("SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'Added' WHEN b.p_partkey IS NULL THEN 'Removed' ELSE 'Modified' END AS change FROM (SELECT p_partkey, p_type AS s FROM part WHERE p_partkey % 10 <> 0) a FULL OUTER JOIN (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN lower(p_type) ELSE p_type END AS s FROM part WHERE p_partkey % 11 <> 0) b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.s <> b.s", graph=False)
+def changes_full_outer(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    old = p.where("p_partkey % 10 <> 0").select("p_partkey", F.col("p_type").alias("signature"))
+    new = p.where("p_partkey % 11 <> 0").select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("signature"))
+    return views.diff(old, new, ["p_partkey"])
+
+
+_OPS = "SELECT DISTINCT concat(p_brand, '/', p_size % 3) AS op, CASE p_size % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, concat('/v1/', lower(p_brand), '/{}') AS norm_path FROM part"
+_ROUTES = "SELECT p_partkey AS route, CASE p_partkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'DELETE' ELSE '<ANY>' END AS method, concat('/v1/', lower(p_brand), CASE p_partkey % 3 WHEN 0 THEN '/:id' WHEN 1 THEN '/{key}' ELSE '/<int:id>' END) AS path FROM part"
+_CALLS = "SELECT p_partkey AS call, CASE p_partkey % 2 WHEN 0 THEN 'GET' ELSE 'POST' END AS method, CASE p_partkey % 3 WHEN 0 THEN concat('/v1/', lower(p_brand), '/', p_size) WHEN 1 THEN concat('/v1/', lower(p_brand), '/{x}') ELSE concat('/v2/', p_size) END AS url, CASE p_partkey % 3 WHEN 0 THEN 'Literal' ELSE 'Template' END AS shape FROM part"
+
+
+def _sql(spark, sf_dir, text, *tables):
+    for t in tables:
+        _t(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(text)
+
+
+@query(f"WITH o AS ({_OPS}), r AS (SELECT route, method, concat('/v1/', split_part(path, '/', 3), '/{{}}') AS np FROM ({_ROUTES})), h AS (SELECT route, op, r.method AS verb, count(*) OVER (PARTITION BY route) AS n FROM r JOIN o ON o.norm_path = r.np AND (r.method = o.method OR r.method = '<ANY>')) SELECT route, op, CASE WHEN n = 1 THEN 'Inferred' ELSE 'Ambiguous' END AS provenance, CAST(CASE WHEN n > 1 THEN 0.35 WHEN verb = '<ANY>' THEN 0.65 ELSE 0.8 END AS FLOAT) AS confidence FROM h", graph=False)
+def link_producers(spark, sf_dir):
+    return linkers.link_producers(_sql(spark, sf_dir, _ROUTES, "part"), _sql(spark, sf_dir, _OPS, "part"))
+
+
+@query(f"WITH o AS ({_OPS}), c AS ({_CALLS}), h AS (SELECT call, op, shape, count(*) OVER (PARTITION BY call) AS n FROM c JOIN o ON o.method = c.method AND length(url) - length(replace(url, '/', '')) = 3 AND split_part(url, '/', 2) = 'v1' AND split_part(url, '/', 3) = split_part(norm_path, '/', 3)) SELECT call, op, CASE WHEN n = 1 THEN 'Inferred' ELSE 'Ambiguous' END AS provenance, CAST(CASE WHEN n > 1 THEN 0.35 WHEN shape = 'Literal' THEN 0.7 ELSE 0.6 END AS FLOAT) AS confidence FROM h", graph=False)
+def link_consumers_theta(spark, sf_dir):
+    return linkers.link_consumers(_sql(spark, sf_dir, _CALLS, "part"), _sql(spark, sf_dir, _OPS, "part"))
+
+
+_SITES = "SELECT o_orderkey AS site, concat('f', o_custkey % 40) AS file, concat('n', o_orderkey % 60) AS callee, concat('u', o_custkey) AS caller FROM orders WHERE o_orderkey % 5 = 0"
+_SYMS = "SELECT concat('u', c_custkey) AS uid, concat('n', c_custkey % 75) AS name, concat('f', c_nationkey) AS file, CASE c_custkey % 3 WHEN 0 THEN 'Method' ELSE 'Function' END AS kind FROM customer WHERE c_custkey % 4 = 0"
+_IMPS = "SELECT DISTINCT concat('f', s_suppkey % 40) AS file, concat('f', s_nationkey) AS target FROM supplier"
+
+
+@query(f"WITH s AS ({_SITES}), y AS ({_SYMS}), i AS ({_IMPS}), n AS (SELECT site, caller, s.file, y.uid, y.file AS loc, y.kind FROM s JOIN y ON y.name = s.callee), h AS (SELECT site, caller, uid, 1 AS tier FROM n WHERE file = loc UNION ALL SELECT site, caller, uid, 2 FROM n WHERE (file, loc) IN (SELECT (file, target) FROM i) UNION ALL SELECT site, caller, uid, 3 FROM n WHERE kind = 'Function'), r AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY tier) AS k FROM h), g AS (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM r WHERE k = 1) SELECT site, caller, uid, tier, CASE WHEN n > 1 THEN 'Ambiguous' WHEN tier = 1 THEN 'Extracted' ELSE 'Inferred' END AS provenance, CAST(CASE WHEN n > 1 THEN 0.35 WHEN tier = 1 THEN 0.95 ELSE 0.8 END AS FLOAT) AS confidence FROM g WHERE caller <> uid", graph=False)
+def link_calls_tiered(spark, sf_dir):
+    return linkers.link_calls_tiered(_sql(spark, sf_dir, _SITES, "orders"), _sql(spark, sf_dir, _SYMS, "customer"), _sql(spark, sf_dir, _IMPS, "supplier"))
+
+
+@query("WITH c AS (SELECT concat(p_type, '.', p_size, '@', p_partkey % 3) AS uid, p_type AS t, concat('s', p_size) AS col, concat('f', p_partkey % 3) AS file FROM part), f AS (SELECT t, col, min_by(uid, file) AS dst FROM c GROUP BY 1, 2), k AS (SELECT DISTINCT concat('k', l_partkey) AS src, p_type AS t, concat('s', l_linenumber * 9) AS col FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 40 = 0) SELECT src, dst, 'ForeignKey' AS kind, 'Extracted' AS provenance, CAST(0.95 AS FLOAT) AS confidence FROM k JOIN f USING (t, col)", graph=False)
+def link_fk(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    columns = p.select(F.concat("p_type", F.lit("."), "p_size", F.lit("@"), F.col("p_partkey") % 3).alias("uid"), F.col("p_type").alias("table"), F.concat(F.lit("s"), "p_size").alias("column"), F.concat(F.lit("f"), F.col("p_partkey") % 3).alias("file"))
+    l = _t(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").join(p, F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
+    keys = l.select(F.concat(F.lit("k"), "l_partkey").alias("src"), F.col("p_type").alias("ref_table"), F.concat(F.lit("s"), F.col("l_linenumber") * 9).alias("ref_column")).distinct()
+    return linkers.link_foreign_keys(keys, columns)
+
+
+@query("WITH r AS (SELECT concat('f', l_suppkey % 50) AS file, concat('S', l_suppkey) AS fqn, p_type AS t, CASE l_returnflag WHEN 'R' THEN 'Read' ELSE 'Write' END AS a FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 0), t AS (SELECT p_type AS name, min_by(concat(p_type, '@', p_size % 4), concat('x', p_size % 4)) AS dst FROM part GROUP BY 1), c AS (SELECT concat('f', s_suppkey % 50) AS file, concat('S', s_suppkey) AS fqn, concat('S', s_suppkey) AS uid FROM supplier WHERE s_suppkey % 3 <> 0), m AS (SELECT DISTINCT concat('f', s_suppkey % 50) AS file, concat('m', s_suppkey % 50) AS uid FROM supplier WHERE s_suppkey % 50 < 30) SELECT DISTINCT coalesce(c.uid, m.uid) AS src, dst, CASE a WHEN 'Read' THEN 'Reads' ELSE 'Writes' END AS kind, 'Extracted' AS provenance, CAST(0.95 AS FLOAT) AS confidence FROM r JOIN t ON t.name = r.t LEFT JOIN c ON c.file = r.file AND c.fqn = r.fqn LEFT JOIN m ON m.file = r.file WHERE coalesce(c.uid, m.uid) IS NOT NULL", graph=False)
+def link_reads_writes(spark, sf_dir):
+    p, s = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "supplier")
+    refs = _t(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    refs = refs.select(F.concat(F.lit("f"), F.col("l_suppkey") % 50).alias("file"), F.concat(F.lit("S"), "l_suppkey").alias("enclosing_fqn"), F.col("p_type").alias("table"), F.when(F.col("l_returnflag") == "R", "Read").otherwise("Write").alias("access"))
+    tables = p.select(F.concat("p_type", F.lit("@"), F.col("p_size") % 4).alias("uid"), F.col("p_type").alias("name"), F.concat(F.lit("x"), F.col("p_size") % 4).alias("file"))
+    code = s.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("S"), "s_suppkey").alias("uid"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("file"), F.concat(F.lit("S"), "s_suppkey").alias("fqn"))
+    modules = s.where("s_suppkey % 50 < 30").select(F.concat(F.lit("m"), F.col("s_suppkey") % 50).alias("uid"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("file"), F.lit("<module>").alias("fqn")).distinct()
+    return linkers.link_tables(refs, tables, code.unionByName(modules))
+
+
+_REFS = "SELECT doc_id AS section, concat('docs/', source, '.md') AS doc, CASE doc_id % 5 WHEN 0 THEN concat('C', doc_id % 1500) WHEN 1 THEN concat('s', doc_id % 50) WHEN 2 THEN CASE WHEN doc_id % 50 = 2 THEN concat('docs/src', doc_id % 9, '.md') ELSE 'nothing' END WHEN 3 THEN 'nothing' ELSE concat('src/', (SELECT min(n_name) FROM nation), '.ts') END AS ref, CASE doc_id % 5 WHEN 2 THEN 'path' WHEN 4 THEN 'path' ELSE 'code' END AS form FROM documents"
+
+
+@query(f", r AS ({_REFS}), b AS (SELECT uid, path, fqn, name, kind IN ('Module', 'DocSection') AS pb FROM g_nodes), h AS (SELECT section, doc, ref, uid, path, 1 AS tier FROM r JOIN b ON pb AND ref = path WHERE form = 'path' UNION ALL SELECT section, doc, ref, uid, path, 2 FROM r JOIN b ON ref = fqn WHERE form = 'code' UNION ALL SELECT section, doc, ref, uid, path, 3 FROM r JOIN b ON ref = name WHERE form = 'code'), k AS (SELECT *, rank() OVER (PARTITION BY section, doc, ref ORDER BY tier) AS k FROM h), g AS (SELECT *, count(*) OVER (PARTITION BY section, doc, ref) AS n FROM k WHERE k = 1) SELECT DISTINCT section, uid, tier, CASE WHEN n > 1 THEN 'Ambiguous' WHEN tier = 1 THEN 'Extracted' ELSE 'Inferred' END AS provenance, CAST(CASE WHEN n > 1 THEN 0.35 WHEN tier = 1 THEN 0.95 WHEN tier = 2 THEN 0.8 ELSE 0.7 END AS FLOAT) AS confidence FROM g WHERE path <> doc")
+def mentions_graded(spark, sf_dir):
+    nodes, _ = derived.graph(spark, sf_dir)
+    refs = _sql(spark, sf_dir, _REFS, "documents", "nation")
+    return linkers.link_mentions(refs, nodes.select("uid", "path", "fqn", "name", F.col("kind").isin("Module", "DocSection").alias("path_bearing")))
+
+
+_LOCAL = "SELECT uid AS local, concat('contract|estate|shared/openapi|', substr(name, 1, 7), '|') AS canonical FROM g_nodes WHERE kind = 'ApiOperation'"
+
+
+@query(f", o AS ({_LOCAL}), e AS (SELECT coalesce(a.canonical, src) AS src, coalesce(b.canonical, dst) AS dst, kind, provenance, confidence FROM g_edges LEFT JOIN o a ON a.local = src LEFT JOIN o b ON b.local = dst WHERE kind IN ('Produces', 'Consumes', 'Calls')), r AS (SELECT *, row_number() OVER (PARTITION BY src, dst, kind ORDER BY provenance, confidence) AS k FROM e) SELECT src, dst, kind, provenance, confidence FROM r WHERE k = 1")
+def estate_union_repoint(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    owners = nodes.where("kind = 'ApiOperation'").select(F.col("uid").alias("local"), F.concat(F.lit("contract|estate|shared/openapi|"), F.substring("name", 1, 7), F.lit("|")).alias("canonical"))
+    return linkers.estate(nodes, edges.where("kind in ('Produces', 'Consumes', 'Calls')").withColumn("ord", F.lit(0)), owners)[1]
+
+
+@query("SELECT p_partkey AS address, 'plan' AS source FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'source' FROM part WHERE p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)", graph=False)
+def plan_over_hcl_antijoin(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("address"))
+    return linkers.plan_over_source(p.where("address % 3 = 0").withColumn("source", F.lit("plan")), p.where("address % 2 = 0").withColumn("source", F.lit("source")))
+
+
+@query("SELECT kind, provenance, count(*) AS n, round(sum(CAST(confidence AS DOUBLE)), 6) AS confidence_sum FROM g_edges GROUP BY 1, 2")
+def coverage_by_kind_provenance(spark, sf_dir):
+    return metrics.coverage(derived.graph(spark, sf_dir)[1]).withColumn("confidence_sum", F.round("confidence_sum", 6))
+
+
+_JUDGED = "SELECT CASE o_orderstatus WHEN 'F' THEN 'Extracted' WHEN 'O' THEN 'Inferred' ELSE 'Ambiguous' END AS provenance, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN o_custkey % 3 > 0 ELSE TRUE END AS correct, o_orderpriority AS class, o_orderkey % 2 = 0 AS predicted, o_orderkey % 3 > 0 AS expected FROM orders"
+
+
+@query(f"SELECT provenance, count(*) AS n, count(*) FILTER (correct) AS confirmed, count(*) FILTER (NOT correct) AS denied, count(*) FILTER (correct) / nullif(CAST(count(correct) AS DOUBLE), 0) AS precision FROM ({_JUDGED}) GROUP BY 1", graph=False)
+def band_precision(spark, sf_dir):
+    return metrics.band_precision(_sql(spark, sf_dir, _JUDGED, "orders"))
+
+
+@query(f"SELECT class, CASE WHEN count(*) FILTER (predicted) = 0 THEN 1.0 ELSE CAST(count(*) FILTER (predicted AND correct) AS DOUBLE) / count(*) FILTER (predicted) END AS precision, CASE WHEN count(*) FILTER (expected) = 0 THEN 1.0 ELSE CAST(count(*) FILTER (predicted AND correct) AS DOUBLE) / count(*) FILTER (expected) END AS recall FROM ({_JUDGED}) GROUP BY 1", graph=False)
+def accuracy_by_class(spark, sf_dir):
+    return metrics.overall(_sql(spark, sf_dir, _JUDGED, "orders"))
+
+
+@query(f"WITH b AS (SELECT CASE provenance WHEN 'Extracted' THEN 0 WHEN 'Inferred' THEN 1 ELSE 2 END AS ord, provenance, count(*) FILTER (correct) / nullif(CAST(count(correct) AS DOUBLE), 0) AS precision FROM ({_JUDGED}) GROUP BY 1, 2) SELECT provenance, precision, coalesce(precision > lag(precision) OVER (ORDER BY ord) + 1e-9, FALSE) AS violates FROM b", graph=False)
+def band_monotonic_lag(spark, sf_dir):
+    bands = metrics.band_precision(_sql(spark, sf_dir, _JUDGED, "orders")).withColumn("ord", F.when(F.col("provenance") == "Extracted", 0).when(F.col("provenance") == "Inferred", 1).otherwise(2))
+    return metrics.monotone(bands)
+
+
+@query("SELECT uid, split_part(uid, '|', 1) AS language, split_part(uid, '|', 2) AS package, split_part(uid, '|', 4) AS fqn, CASE WHEN instr(fqn, '#') > 0 THEN substr(fqn, instr(fqn, '#') + 1) ELSE fqn END AS anchor, CASE WHEN kind IN ('ApiOperation', 'GraphqlField') THEN 'contract' WHEN kind IN ('LambdaFn', 'IamRole') THEN 'infra' WHEN kind IN ('Table', 'Column') THEN 'data' WHEN kind = 'DocSection' THEN 'knowledge' ELSE 'code' END AS plane FROM g_nodes")
+def uid_parts(spark, sf_dir):
+    nodes, _ = derived.graph(spark, sf_dir)
+    return nodes.select("uid", *(scalars.uid_part("uid", k).alias(n) for k, n in ((1, "language"), (2, "package"), (4, "fqn"))), scalars.anchor("fqn").alias("anchor"), scalars.plane_of("kind").alias("plane"))
+
+
+@query(f"SELECT route, concat('/v1/', split_part(path, '/', 3), '/{{}}') AS norm_path FROM ({_ROUTES})", graph=False)
+def normalize_path(spark, sf_dir):
+    return _sql(spark, sf_dir, _ROUTES, "part").select("route", scalars.normalize_path("path").alias("norm_path"))
+
+
+_HEADINGS = "SELECT source AS path, doc_id AS pos, split_part(text, ' ', 1) AS heading FROM documents"
+
+
+@query(f"WITH h AS ({_HEADINGS}), s AS (SELECT path, pos, regexp_replace(regexp_replace(lower(heading), '[^a-z0-9 _-]', '', 'g'), '[ -]', '-', 'g') AS slug FROM h), n AS (SELECT *, row_number() OVER (PARTITION BY path, slug ORDER BY pos) - 1 AS k FROM s) SELECT path, pos, CASE WHEN k = 0 THEN slug ELSE concat(slug, '-', k) END AS anchor FROM n", graph=False)
+def slug_dedupe(spark, sf_dir):
+    from cairn.sources import markdown
+
+    h = _t(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("pos"), F.split_part("text", F.lit(" "), F.lit(1)).alias("heading"))
+    return markdown.anchors(h).select("path", "pos", "anchor")
+
+
+@query("SELECT page_id, regexp_matches(url, '/[^/]*\\.[A-Za-z0-9]+$') AS path_shape, regexp_matches(url, '^[a-z0-9-]+$') AS slug_safe, split_part(url, '/', length(url) - length(replace(url, '/', '')) + 1) AS base FROM pages", graph=False)
+def path_shape(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", scalars.has_path_shape("url").alias("path_shape"), scalars.slug_safe("url").alias("slug_safe"), scalars.base_name("url").alias("base"))
+
+
+_WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda x: length(x) > 0 AND strlen(x) <= 40)"
+
+
+@query(f"WITH w AS (SELECT doc_id AS uid, {_WORDS} AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w), h AS (SELECT uid, len(w) AS len, unnest(list_filter(w, lambda x: x IN ('the', 'thonre', 'und', 'anly'))) AS term FROM w), tf AS (SELECT uid, term, count(*) AS tf, any_value(len) AS len FROM h GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), r AS (SELECT uid, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score, string_agg(DISTINCT term, ' ' ORDER BY term) AS terms FROM tf JOIN df USING (term), s GROUP BY uid) SELECT uid, score, terms, row_number() OVER (ORDER BY score DESC, uid) AS rank FROM r ORDER BY score DESC, uid LIMIT 10", graph=False)
+def bm25_topk(spark, sf_dir):
+    entries = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), F.col("text").alias("body"))
+    return metrics.bm25(entries, "the thonre UND anly", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"SELECT doc_id AS uid, list_aggregate(list_sort(list_distinct(list_filter({_WORDS}, lambda x: x IN ('the', 'und', 'les')))), 'string_agg', ' ') AS terms, len({_WORDS}) AS n_tokens FROM documents WHERE text IS NOT NULL", graph=False)
+def matched_terms(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("uid"), scalars.tokens("text").alias("w"))
+    hits = F.sort_array(F.array_intersect("w", F.array(F.lit("the"), F.lit("und"), F.lit("les"))))
+    return d.select("uid", F.when(F.size(hits) > 0, F.array_join(hits, " ")).alias("terms"), F.size("w").cast("long").alias("n_tokens"))
+
+
+@query(f", me AS ({FUNCTION}), n AS (SELECT src AS uid, confidence FROM g_edges WHERE kind IN ('Calls', 'Imports') AND dst = (SELECT uid FROM me) UNION ALL SELECT dst, confidence FROM g_edges WHERE kind IN ('Calls', 'Imports') AND src = (SELECT uid FROM me) UNION ALL SELECT uid, CAST(0.95 AS FLOAT) FROM me) SELECT path, max(confidence) AS confidence FROM n JOIN g_nodes USING (uid) WHERE path <> '' GROUP BY 1")
+def rename_files(spark, sf_dir):
+    nodes, edges, one = _targets(spark, sf_dir, "Function")
+    return views.implicated_files(nodes, edges, one.first()["uid"])
+
+
+@query(f", me AS ({_OWN}) SELECT src AS uid, max(confidence) AS confidence FROM g_edges WHERE kind IN ('Documents', 'Mentions') AND dst IN (SELECT uid FROM me) GROUP BY 1")
+def file_doc_refs(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    return views.doc_refs(edges, views.symbols_in_file(nodes, _first_file(nodes)))
+
+
+@query("SELECT e.kind, e.provenance, count(*) AS n, min(e.confidence) AS least, max(e.confidence) AS most FROM g_edges e JOIN g_nodes a ON a.uid = e.src JOIN g_nodes b ON b.uid = e.dst GROUP BY 1, 2")
+def live_edges(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    return walk.live(nodes, edges).groupBy("kind", "provenance").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+
+
+_STATEMENTS = "SELECT part.p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'Deny' ELSE 'Allow' END AS effect, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 11 = 0 THEN '*' ELSE concat('s3:', lower(split_part(p_type, ' ', 1))) END AS action, CASE WHEN p_size % 13 = 0 THEN 'iam:Pass' END AS not_action FROM part"
+
+
+@query(f"SELECT id, CASE WHEN effect = 'Deny' THEN 'deny-statement' WHEN not_action IS NOT NULL THEN 'not-action' WHEN action IS NULL THEN 'no-action' WHEN contains(action, '*') THEN 'wildcard' END AS opaque, CASE WHEN effect = 'Allow' AND not_action IS NULL THEN action END AS granted FROM ({_STATEMENTS})", graph=False)
+def iam_statement_grade(spark, sf_dir):
+    from cairn.sources import iam
+
+    return iam.grade(_sql(spark, sf_dir, _STATEMENTS, "part")).select("id", "opaque", "granted")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walk.ranked(_QUERIES["impact_full"](spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLE)
+
+
+assert set(schema.WALKED) <= set(schema.EDGE_KINDS)
