@@ -20,6 +20,7 @@ hold one text; each is returned.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -168,6 +169,13 @@ def runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return id_and_text(docs).where("text is not null and doc_id is not null").mapInArrow(cut, "m long, seg long, doc_id long, at long")
 
 
+def _lists(column, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets, and the fields as flat arrays, of a column of lists of structs; a null list is empty."""
+    values = column.flatten()
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), [values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
 def release(spark) -> None:
     """Let Spark's cleaner drop the shuffles of steps that are over."""
     import gc
@@ -180,18 +188,23 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, start, strings: stretches of starts of strings that occurred earlier."""
     spark = docs.sparkSession
     found = runs(docs, length)
-    shared = settle(found.groupBy("m").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("n > 1").select("m", (F.col("lo") != F.col("hi")).alias("several")))
+    shared = settle(found.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))
     release(spark)
     met = settle(found.join(shared, "m"))
+    del shared, found
     release(spark)
-    classes = settle(met.groupBy("m", "seg", "several").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")))
-    release(spark)
+    classes = settle(met.groupBy("m", "seg").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")))
     # all but the first of a class occurred earlier as a whole
     later = met.join(classes.where("n > 1").select("m", "seg", "f"), ["m", "seg"]).where(F.struct("doc_id", "at") != F.col("f")).select("doc_id", "at")
-    later = later.select("doc_id", F.shiftright("at", 14).alias("start"), (F.shiftright("at", 7).bitwiseAND(F.lit(127))).alias("strings"))
-    firsts = classes.where("several").select("m", F.col("f.doc_id").alias("id"), F.col("f.at").alias("at"))
-    shards = max(1, firsts.count() // SHARD_ROWS + 1)
-    asked = settle(firsts.groupBy("id").agg(F.collect_list(F.struct("m", "at")).alias("asked")))
+    later = settle(later.select("doc_id", F.shiftright("at", 14).alias("start"), (F.shiftright("at", 7).bitwiseAND(F.lit(127))).alias("strings")))
+    del met
+    release(spark)
+    several = classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
+    firsts = classes.join(several, "m").select("m", F.col("f.doc_id").alias("id"), F.col("f.at").alias("at"))
+    asked = settle(firsts.groupBy("id").agg(F.collect_list(F.struct("m", "at")).alias("asked"), F.count("*").alias("n")))
+    del classes, several, firsts
+    release(spark)
+    shards = max(1, (asked.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS + 1)
     texts = id_and_text(docs).where("text is not null")
     rows = texts.join(asked, texts.doc_id == asked.id).select("doc_id", "text", "asked")
 
@@ -200,24 +213,34 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for batch in batches:
             offsets, data = byte_views(batch.column("text"))
-            ids, lists = batch.column("doc_id").to_pylist(), batch.column("asked")
-            for i in range(len(ids)):
-                text = bytes(data[offsets[i] : offsets[i + 1]])
-                items = lists[i].as_py()
-                starts = [(x["at"] >> 14, x["at"] >> 7 & 127, x["m"]) for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m % shards for _, _, m in starts], pa.int64()), pa.array([ids[i]] * len(starts), pa.int64()), pa.array([s for s, _, _ in starts], pa.int64()), pa.array([text[s : s + n + length - 1] for s, n, _ in starts], pa.binary())],
-                    names=["shard", "doc_id", "start", "content"],
-                )
-
-    pieces = rows.mapInArrow(fetch, "shard long, doc_id long, start long, content binary")
+            ids, (lists, (ms, ats)) = batch.column("doc_id").to_numpy(), _lists(batch.column("asked"), ("m", "at"))
+            which = np.repeat(np.arange(len(ids)), np.diff(lists))
+            start = ats >> 14
+            begin = offsets[which] + start
+            end = begin + (ats >> 7 & 127) + length - 1
+            contents = [bytes(data[x:y]) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+            columns = [pa.array(x, pa.int64()) for x in (ms % shards, ms, ids[which], start, ats & 127)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(contents, pa.binary())], names=["shard", "m", "doc_id", "start", "place", "content"])
+
+    pieces = rows.mapInArrow(fetch, "shard long, m long, doc_id long, start long, place long, content binary")
     pieces = pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "start")
 
     def judge(batches):
         import pyarrow as pa
 
-        def done(docs_, starts, contents):
+        def done(anchors, docs_, starts, places, contents):
+            # a string that two segments share agrees with half of what it has beside the anchor, on one side at least
+            half = (length - GRAM) // 2
+            sides = []
+            for m, p, c in zip(anchors, places, contents, strict=True):
+                left, right = c[p - half : p] if p >= half else b"", c[p + GRAM : p + GRAM + half]
+                sides.append((hash((m, 0, left)) if left else None, hash((m, 1, right)) if len(right) == half else None))
+            times = Counter(x for both in sides for x in both if x is not None)
+            kept = [k for k, both in enumerate(sides) if any(x is not None and times[x] > 1 for x in both)]
+            docs_, starts, contents = ([x[k] for k in kept] for x in (docs_, starts, contents))
             sizes = np.array([len(c) for c in contents], np.int64)
+            if not contents:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc_id", "start", "strings"])
             x = np.frombuffer(b"".join(contents), np.uint8)
             base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
             count = sizes - length + 1
@@ -234,19 +257,21 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             hit = same & ((ids[order] != ids[lead]) | (start[order] != start[lead]))
             return pa.RecordBatch.from_arrays([pa.array(ids[order][hit]), pa.array(start[order][hit]), pa.array(np.ones(int(hit.sum()), np.int64))], names=["doc_id", "start", "strings"])
 
-        shard, held = None, ([], [], [])
+        shard, held = None, ([], [], [], [], [])
         for batch in batches:
-            for s, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "start", "content")), strict=True):
+            for s, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "m", "doc_id", "start", "place", "content")), strict=True):
                 if s != shard:
                     if held[0]:
                         yield done(*held)
-                    shard, held = s, ([], [], [])
+                    shard, held = s, ([], [], [], [], [])
                 for to, v in zip(held, row, strict=True):
                     to.append(v)
         if held[0]:
             yield done(*held)
 
-    return later.unionByName(pieces.mapInArrow(judge, "doc_id long, start long, strings long"))
+    judged = settle(pieces.mapInArrow(judge, "doc_id long, start long, strings long"))
+    release(spark)
+    return later.unionByName(judged)
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -262,15 +287,15 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for batch in batches:
             offsets, data = byte_views(batch.column("text"))
+            lists, (begin, count) = _lists(batch.column("cut"), ("start", "strings"))
             out = []
             for i in range(batch.num_rows):
                 text = bytes(data[offsets[i] : offsets[i + 1]])
-                cut = batch.column("cut")[i].as_py()
-                if not cut:
+                start, n = begin[lists[i] : lists[i + 1]], count[lists[i] : lists[i + 1]]
+                if not len(start):
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
                     continue
                 edge = np.zeros(len(text) + 1, np.int32)
-                start, n = np.array([c["start"] for c in cut]), np.array([c["strings"] for c in cut])
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + n + length - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
