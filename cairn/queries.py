@@ -132,17 +132,18 @@ def query_substring(spark, sf_dir):
     return views.query(derived.graph(spark, sf_dir)[0], "Brand#1")
 
 
-@query(", s AS (SELECT concat('C', c_custkey) AS symbol FROM customer WHERE c_custkey % 100 = 0 UNION SELECT concat('s', p_size) FROM part WHERE p_partkey % 97 = 0), h AS (SELECT symbol, uid, 1 AS tier FROM s JOIN g_nodes ON fqn = symbol UNION ALL SELECT symbol, uid, 2 FROM s JOIN g_nodes ON name = symbol), r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY tier) AS r FROM h) SELECT symbol, uid, tier, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE r = 1")
+@query(", s AS (SELECT concat('C', c_custkey) AS symbol FROM customer UNION SELECT concat('s', p_size) FROM part), h AS (SELECT symbol, uid, 1 AS tier FROM s JOIN g_nodes ON fqn = symbol UNION ALL SELECT symbol, uid, 2 FROM s JOIN g_nodes ON name = symbol), r AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY tier) AS r FROM h) SELECT symbol, uid, tier, count(*) OVER (PARTITION BY symbol) AS n FROM r WHERE r = 1")
 def resolve_symbol_tiers(spark, sf_dir):
-    a = _t(spark, sf_dir, "customer").where("c_custkey % 100 = 0").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"))
-    b = _t(spark, sf_dir, "part").where("p_partkey % 97 = 0").select(F.concat(F.lit("s"), "p_size").alias("symbol"))
+    a = _t(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("symbol"))
+    b = _t(spark, sf_dir, "part").select(F.concat(F.lit("s"), "p_size").alias("symbol"))
     return views.resolve(derived.graph(spark, sf_dir)[0], a.union(b)).select("symbol", "uid", "tier", "n")
 
 
-@query("SELECT uid, name FROM g_nodes WHERE kind IN ('ApiOperation', 'GraphqlField') AND uid NOT IN (SELECT dst FROM g_edges WHERE kind IN ('Produces', 'Consumes') AND src LIKE '%1|')")
+@query("SELECT uid, name FROM g_nodes WHERE kind IN ('ApiOperation', 'GraphqlField') AND uid NOT IN (SELECT dst FROM g_edges WHERE kind IN ('Produces', 'Consumes') AND src IN (SELECT uid FROM g_nodes WHERE kind = 'Class'))")
 def dead_surface(spark, sf_dir):
     nodes, edges = derived.graph(spark, sf_dir)
-    return views.dead_surface(nodes, edges.where("src like '%1|'")).select("uid", "name")
+    classes = nodes.where("kind = 'Class'").select(F.col("uid").alias("src"))
+    return views.dead_surface(nodes, edges.join(classes, "src", "left_semi")).select("uid", "name")
 
 
 @query(", quiet AS (SELECT uid FROM g_nodes WHERE kind = 'Repo'), mm AS (SELECT DISTINCT q.uid AS target, e.dst AS uid FROM (SELECT uid FROM g_nodes WHERE kind = 'Module' AND uid NOT IN (SELECT dst FROM g_edges WHERE kind NOT IN ('Defines', 'MemberOf', 'Produces', 'Consumes', 'Contains'))) q JOIN g_edges e ON e.src = q.uid AND e.kind IN ('Defines', 'Contains', 'HasColumn')) SELECT DISTINCT mm.target, mm.uid AS member, n.name FROM mm JOIN g_nodes n ON n.uid = mm.uid JOIN g_edges e ON e.dst = mm.uid AND e.kind IN (" + _quoted(walk.Options(depth=1, contracts=False).kinds()) + ") AND e.src <> mm.target")
@@ -176,12 +177,13 @@ def risk_level(spark, sf_dir):
     return views.blast(nodes, edges, _first_file(nodes), walk.Options(depth=2))[1]
 
 
-@query("SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'Added' WHEN b.p_partkey IS NULL THEN 'Removed' ELSE 'Modified' END AS change FROM (SELECT p_partkey, p_type AS s FROM part WHERE p_partkey % 10 <> 0) a FULL OUTER JOIN (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN lower(p_type) ELSE p_type END AS s FROM part WHERE p_partkey % 11 <> 0) b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.s <> b.s", graph=False)
+@query("WITH a AS (SELECT CAST(floor(c_acctbal) AS BIGINT) AS k, min(c_nationkey) AS s FROM customer GROUP BY 1), b AS (SELECT CAST(floor(s_acctbal) AS BIGINT) AS k, min(s_nationkey) AS s FROM supplier GROUP BY 1) SELECT coalesce(a.k, b.k) AS key, CASE WHEN a.k IS NULL THEN 'Added' WHEN b.k IS NULL THEN 'Removed' ELSE 'Modified' END AS change FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s", graph=False)
 def changes_full_outer(spark, sf_dir):
-    p = _t(spark, sf_dir, "part")
-    old = p.where("p_partkey % 10 <> 0").select("p_partkey", F.col("p_type").alias("signature"))
-    new = p.where("p_partkey % 11 <> 0").select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("signature"))
-    return views.diff(old, new, ["p_partkey"])
+    """Balances of customers as the old state, those of suppliers as the new one."""
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    old = c.groupBy(F.floor("c_acctbal").cast("long").alias("key")).agg(F.min("c_nationkey").alias("signature"))
+    new = s.groupBy(F.floor("s_acctbal").cast("long").alias("key")).agg(F.min("s_nationkey").alias("signature"))
+    return views.diff(old, new, ["key"])
 
 
 _OPS = "SELECT DISTINCT concat(p_brand, '/', p_size % 3) AS op, CASE p_size % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, concat('/v1/', lower(p_brand), '/{}') AS norm_path FROM part"
@@ -205,8 +207,8 @@ def link_consumers_theta(spark, sf_dir):
     return linkers.link_consumers(_sql(spark, sf_dir, _CALLS, "part"), _sql(spark, sf_dir, _OPS, "part"))
 
 
-_SITES = "SELECT o_orderkey AS site, concat('f', o_custkey % 40) AS file, concat('n', o_orderkey % 60) AS callee, concat('u', o_custkey) AS caller FROM orders WHERE o_orderkey % 5 = 0"
-_SYMS = "SELECT concat('u', c_custkey) AS uid, concat('n', c_custkey % 75) AS name, concat('f', c_nationkey) AS file, CASE c_custkey % 3 WHEN 0 THEN 'Method' ELSE 'Function' END AS kind FROM customer WHERE c_custkey % 4 = 0"
+_SITES = "SELECT o_orderkey AS site, concat('f', o_custkey % 40) AS file, concat('n', o_orderkey % 60) AS callee, concat('u', o_custkey) AS caller FROM orders"
+_SYMS = "SELECT concat('u', c_custkey) AS uid, concat('n', c_custkey % 75) AS name, concat('f', c_nationkey) AS file, CASE c_custkey % 3 WHEN 0 THEN 'Method' ELSE 'Function' END AS kind FROM customer"
 _IMPS = "SELECT DISTINCT concat('f', s_suppkey % 40) AS file, concat('f', s_nationkey) AS target FROM supplier"
 
 
@@ -215,23 +217,23 @@ def link_calls_tiered(spark, sf_dir):
     return linkers.link_calls_tiered(_sql(spark, sf_dir, _SITES, "orders"), _sql(spark, sf_dir, _SYMS, "customer"), _sql(spark, sf_dir, _IMPS, "supplier"))
 
 
-@query("WITH c AS (SELECT concat(p_type, '.', p_size, '@', p_partkey % 3) AS uid, p_type AS t, concat('s', p_size) AS col, concat('f', p_partkey % 3) AS file FROM part), f AS (SELECT t, col, min_by(uid, file) AS dst FROM c GROUP BY 1, 2), k AS (SELECT DISTINCT concat('k', l_partkey) AS src, p_type AS t, concat('s', l_linenumber * 9) AS col FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 40 = 0) SELECT src, dst, 'ForeignKey' AS kind, 'Extracted' AS provenance, CAST(0.95 AS FLOAT) AS confidence FROM k JOIN f USING (t, col)", graph=False)
+@query("WITH c AS (SELECT concat(p_type, '.', p_size, '@', p_partkey % 3) AS uid, p_type AS t, concat('s', p_size) AS col, concat('f', p_partkey % 3) AS file FROM part), f AS (SELECT t, col, min_by(uid, file) AS dst FROM c GROUP BY 1, 2), k AS (SELECT DISTINCT concat('k', l_partkey) AS src, p_type AS t, concat('s', l_linenumber * 9) AS col FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT src, dst, 'ForeignKey' AS kind, 'Extracted' AS provenance, CAST(0.95 AS FLOAT) AS confidence FROM k JOIN f USING (t, col)", graph=False)
 def link_fk(spark, sf_dir):
     p = _t(spark, sf_dir, "part")
     columns = p.select(F.concat("p_type", F.lit("."), "p_size", F.lit("@"), F.col("p_partkey") % 3).alias("uid"), F.col("p_type").alias("table"), F.concat(F.lit("s"), "p_size").alias("column"), F.concat(F.lit("f"), F.col("p_partkey") % 3).alias("file"))
-    l = _t(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").join(p, F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
+    l = _t(spark, sf_dir, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))  # noqa: E741
     keys = l.select(F.concat(F.lit("k"), "l_partkey").alias("src"), F.col("p_type").alias("ref_table"), F.concat(F.lit("s"), F.col("l_linenumber") * 9).alias("ref_column")).distinct()
     return linkers.link_foreign_keys(keys, columns)
 
 
-@query("WITH r AS (SELECT concat('f', l_suppkey % 50) AS file, concat('S', l_suppkey) AS fqn, p_type AS t, CASE l_returnflag WHEN 'R' THEN 'Read' ELSE 'Write' END AS a FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 0), t AS (SELECT p_type AS name, min_by(concat(p_type, '@', p_size % 4), concat('x', p_size % 4)) AS dst FROM part GROUP BY 1), c AS (SELECT concat('f', s_suppkey % 50) AS file, concat('S', s_suppkey) AS fqn, concat('S', s_suppkey) AS uid FROM supplier WHERE s_suppkey % 3 <> 0), m AS (SELECT DISTINCT concat('f', s_suppkey % 50) AS file, concat('m', s_suppkey % 50) AS uid FROM supplier WHERE s_suppkey % 50 < 30) SELECT DISTINCT coalesce(c.uid, m.uid) AS src, dst, CASE a WHEN 'Read' THEN 'Reads' ELSE 'Writes' END AS kind, 'Extracted' AS provenance, CAST(0.95 AS FLOAT) AS confidence FROM r JOIN t ON t.name = r.t LEFT JOIN c ON c.file = r.file AND c.fqn = r.fqn LEFT JOIN m ON m.file = r.file WHERE coalesce(c.uid, m.uid) IS NOT NULL", graph=False)
+@query("WITH r AS (SELECT concat('f', l_suppkey % 50) AS file, concat(CASE l_linestatus WHEN 'F' THEN 'S' ELSE 'x' END, l_suppkey) AS fqn, p_type AS t, CASE l_returnflag WHEN 'R' THEN 'Read' ELSE 'Write' END AS a FROM lineitem JOIN part ON p_partkey = l_partkey), t AS (SELECT p_type AS name, min_by(concat(p_type, '@', p_size % 4), concat('x', p_size % 4)) AS dst FROM part GROUP BY 1), c AS (SELECT concat('f', s_suppkey % 50) AS file, concat('S', s_suppkey) AS fqn, concat('S', s_suppkey) AS uid FROM supplier), m AS (SELECT DISTINCT concat('f', s_suppkey % 50) AS file, concat('m', s_suppkey % 50) AS uid FROM supplier) SELECT DISTINCT coalesce(c.uid, m.uid) AS src, dst, CASE a WHEN 'Read' THEN 'Reads' ELSE 'Writes' END AS kind, 'Extracted' AS provenance, CAST(0.95 AS FLOAT) AS confidence FROM r JOIN t ON t.name = r.t LEFT JOIN c ON c.file = r.file AND c.fqn = r.fqn LEFT JOIN m ON m.file = r.file WHERE coalesce(c.uid, m.uid) IS NOT NULL", graph=False)
 def link_reads_writes(spark, sf_dir):
     p, s = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "supplier")
-    refs = _t(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").join(p, F.col("p_partkey") == F.col("l_partkey"))
-    refs = refs.select(F.concat(F.lit("f"), F.col("l_suppkey") % 50).alias("file"), F.concat(F.lit("S"), "l_suppkey").alias("enclosing_fqn"), F.col("p_type").alias("table"), F.when(F.col("l_returnflag") == "R", "Read").otherwise("Write").alias("access"))
+    refs = _t(spark, sf_dir, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    refs = refs.select(F.concat(F.lit("f"), F.col("l_suppkey") % 50).alias("file"), F.concat(F.when(F.col("l_linestatus") == "F", "S").otherwise("x"), "l_suppkey").alias("enclosing_fqn"), F.col("p_type").alias("table"), F.when(F.col("l_returnflag") == "R", "Read").otherwise("Write").alias("access"))
     tables = p.select(F.concat("p_type", F.lit("@"), F.col("p_size") % 4).alias("uid"), F.col("p_type").alias("name"), F.concat(F.lit("x"), F.col("p_size") % 4).alias("file"))
-    code = s.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("S"), "s_suppkey").alias("uid"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("file"), F.concat(F.lit("S"), "s_suppkey").alias("fqn"))
-    modules = s.where("s_suppkey % 50 < 30").select(F.concat(F.lit("m"), F.col("s_suppkey") % 50).alias("uid"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("file"), F.lit("<module>").alias("fqn")).distinct()
+    code = s.select(F.concat(F.lit("S"), "s_suppkey").alias("uid"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("file"), F.concat(F.lit("S"), "s_suppkey").alias("fqn"))
+    modules = s.select(F.concat(F.lit("m"), F.col("s_suppkey") % 50).alias("uid"), F.concat(F.lit("f"), F.col("s_suppkey") % 50).alias("file"), F.lit("<module>").alias("fqn")).distinct()
     return linkers.link_tables(refs, tables, code.unionByName(modules))
 
 
@@ -255,10 +257,11 @@ def estate_union_repoint(spark, sf_dir):
     return linkers.estate(nodes, edges.where("kind in ('Produces', 'Consumes', 'Calls')").withColumn("ord", F.lit(0)), owners)[1]
 
 
-@query("SELECT p_partkey AS address, 'plan' AS source FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'source' FROM part WHERE p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)", graph=False)
+@query("SELECT DISTINCT l_partkey AS address, 'plan' AS source FROM lineitem UNION ALL SELECT p_partkey, 'source' FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)", graph=False)
 def plan_over_hcl_antijoin(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("address"))
-    return linkers.plan_over_source(p.where("address % 3 = 0").withColumn("source", F.lit("plan")), p.where("address % 2 = 0").withColumn("source", F.lit("source")))
+    """Parts sold as planned resources, all parts as written ones."""
+    planned = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("address")).distinct().withColumn("source", F.lit("plan"))
+    return linkers.plan_over_source(planned, _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("address"), F.lit("source").alias("source")))
 
 
 @query("SELECT kind, provenance, count(*) AS n, round(sum(CAST(confidence AS DOUBLE)), 6) AS confidence_sum FROM g_edges GROUP BY 1, 2")
