@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn import schema
 from cairn.functions import scalars
-from cairn.operators import linkers, metrics, views, walk
+from cairn.operators import code_links, infra_links, linkers, metrics, views, walk
 from cairn.plans import derived
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,6 +359,110 @@ def iam_statement_grade(spark, sf_dir):
     return iam.grade(_sql(spark, sf_dir, _STATEMENTS, "part")).select("id", "opaque", "granted")
 
 
+@query("WITH r AS (SELECT DISTINCT concat(p_brand, '/', p_type) AS uid, p_brand AS template, p_type AS id FROM part), f AS (SELECT concat('s', l_suppkey) AS src, p_brand AS template, l_returnflag AS g, unnest(CASE l_returnflag WHEN 'N' THEN [p_type, p_name] ELSE [CASE l_linestatus WHEN 'O' THEN p_name ELSE p_type END] END) AS id FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT src, uid AS dst, 'Assumes' AS kind, CASE WHEN bool_or(g = 'R') THEN 'Extracted' ELSE 'Inferred' END AS provenance, CAST(CASE WHEN bool_or(g = 'R') THEN 0.95 ELSE 0.70 END AS FLOAT) AS confidence FROM f JOIN r USING (template, id) GROUP BY 1, 2", graph=False)
+def infra_references(spark, sf_dir):
+    """Brands as templates, types as their resources, suppliers as what refers to them."""
+    p = _t(spark, sf_dir, "part")
+    resources = p.select(F.concat("p_brand", F.lit("/"), "p_type").alias("uid"), F.col("p_brand").alias("template"), F.col("p_type").alias("logical_id")).distinct()
+    sold = _t(spark, sf_dir, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    ids = F.when(F.col("l_returnflag") == "N", F.array("p_type", "p_name")).otherwise(F.array(F.when(F.col("l_linestatus") == "O", F.col("p_name")).otherwise(F.col("p_type"))))
+    grade = F.when(F.col("l_returnflag") == "R", "Resource").when(F.col("l_returnflag") == "A", "Inferred").otherwise("Multi")
+    refs = sold.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.col("p_brand").alias("template"), grade.alias("grade"), ids.alias("ids"))
+    return infra_links.references(refs, resources, "Assumes")
+
+
+@query("SELECT CASE WHEN n_name IS NULL THEN concat('r', o_orderkey) ELSE n_name END AS src, o_orderkey AS op, CASE WHEN n_name IS NULL OR (o_orderstatus = 'F' AND c_mktsegment > 'B') THEN 'Extracted' ELSE 'Inferred' END AS provenance, CAST(CASE WHEN n_name IS NULL OR (o_orderstatus = 'F' AND c_mktsegment > 'B') THEN 0.95 ELSE 0.70 END AS FLOAT) AS confidence FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND c_acctbal > 0", graph=False)
+def infra_produces_chain(spark, sf_dir):
+    """Orders as resolvers, customers as data sources, nations as functions; customers in debt lead nowhere."""
+    o, c, n = (_t(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    one = F.lit("t").alias("template")
+    plain = lambda test: F.when(test, "Resource").otherwise("Inferred").alias("grade")
+    resolvers = o.select(F.concat(F.lit("r"), "o_orderkey").alias("uid"), one, F.col("o_orderkey").alias("op"), F.col("o_custkey").alias("source_id"), plain(F.col("o_orderstatus") == "F"))
+    sources = c.select(one, F.col("c_custkey").alias("logical_id"), F.when(F.col("c_acctbal") > 0, F.col("c_nationkey")).alias("lambda_id"), plain(F.col("c_mktsegment") > "B"))
+    return infra_links.produces(resolvers, sources, n.select(one, F.col("n_nationkey").alias("logical_id"), F.col("n_name").alias("uid")))
+
+
+@query("WITH m AS (SELECT concat('m', c_custkey) AS uid, c_mktsegment AS type, c_custkey // 2 AS name, c_nationkey AS file FROM customer), s AS (SELECT o_orderkey AS site, s_nationkey AS file, CASE o_orderstatus WHEN 'P' THEN 'none' ELSE c_mktsegment END AS type, o_custkey // 2 AS name FROM orders JOIN customer ON c_custkey = o_orderkey % (SELECT count(*) FROM customer) JOIN supplier ON s_suppkey = o_orderkey % (SELECT count(*) FROM supplier)), h AS (SELECT site, uid, 1 AS tier, TRUE AS known, s.file = m.file AS same FROM s JOIN m USING (type, name) UNION ALL SELECT site, uid, 2, s.type IN (SELECT type FROM m), FALSE FROM s JOIN m USING (name)), r AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY tier) AS k FROM h), n AS (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM r WHERE k = 1) SELECT site, uid, CASE WHEN n > 1 OR (tier = 2 AND known) THEN 'Ambiguous' WHEN same THEN 'Extracted' ELSE 'Inferred' END AS provenance, CAST(CASE WHEN n > 1 OR (tier = 2 AND known) THEN 0.35 WHEN same THEN 0.95 ELSE 0.80 END AS FLOAT) AS confidence FROM n", graph=False)
+def link_calls_qualified(spark, sf_dir):
+    """Customers as methods of the type that is their segment, orders as calls of them."""
+    o, c, s = (_t(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
+    methods = c.select(F.concat(F.lit("m"), "c_custkey").alias("uid"), F.col("c_mktsegment").alias("type"), F.floor(F.col("c_custkey") / 2).alias("name"), F.col("c_nationkey").alias("file"))
+    calls = o.join(c, F.col("c_custkey") == F.col("o_orderkey") % c.count()).join(s, F.col("s_suppkey") == F.col("o_orderkey") % s.count())
+    sites = calls.select(F.col("o_orderkey").alias("site"), F.col("s_nationkey").alias("file"), F.when(F.col("o_orderstatus") == "P", "none").otherwise(F.col("c_mktsegment")).alias("type"), F.floor(F.col("o_custkey") / 2).alias("name"))
+    return code_links.qualified_calls(sites, methods)
+
+
+@query("SELECT c_custkey AS route, coalesce('S' || (SELECT min(s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey AND CAST(floor(s_acctbal / 1000) AS BIGINT) = CAST(floor(c_acctbal / 1000) AS BIGINT)), concat('m', c_nationkey)) AS uid FROM customer", graph=False)
+def link_handlers(spark, sf_dir):
+    """Customers as routes, suppliers of the nation and the same thousand of balance as their handlers, nations as modules."""
+    c, s, n = (_t(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    thousand = lambda x: F.floor(F.col(x) / 1000).cast("string")
+    routes = c.select(F.col("c_custkey").alias("route"), F.col("c_nationkey").alias("file"), thousand("c_acctbal").alias("handler"), F.lit("<module>").alias("enclosing_fqn"))
+    symbols = s.select(F.concat(F.lit("S"), "s_suppkey").alias("uid"), F.col("s_nationkey").alias("file"), thousand("s_acctbal").alias("name"), F.format_string("%012d", "s_suppkey").alias("fqn"))
+    return code_links.handler_or_enclosing(routes, symbols.unionByName(n.select(F.concat(F.lit("m"), "n_nationkey").alias("uid"), F.col("n_nationkey").alias("file"), F.lit("-").alias("name"), F.lit("<module>").alias("fqn"))))
+
+
+@query("WITH n AS (SELECT p_partkey, c_custkey, count(*) OVER (PARTITION BY p_partkey) AS n FROM part JOIN customer ON CAST(floor(p_retailprice) AS BIGINT) = CAST(floor(c_acctbal) AS BIGINT)) SELECT p_partkey, c_custkey FROM n WHERE n = 1", graph=False)
+def link_unique_matches(spark, sf_dir):
+    left = _t(spark, sf_dir, "part").select("p_partkey", F.floor("p_retailprice").cast("long").alias("key"))
+    right = _t(spark, sf_dir, "customer").select("c_custkey", F.floor("c_acctbal").cast("long").alias("key"))
+    return linkers.link_unique(left, right, ["key"], "p_partkey").select("p_partkey", "c_custkey")
+
+
+@query("SELECT (SELECT count(*) FROM g_nodes) AS n_nodes, (SELECT count(*) FROM g_edges) AS n_edges, (SELECT bool_or(kind IN ('ApiOperation', 'GraphqlField')) FROM g_nodes) AS has_contract, (SELECT bool_or(kind IN ('LambdaFn', 'IamRole')) FROM g_nodes) AS has_infra")
+def graph_summary(spark, sf_dir):
+    nodes, edges = derived.graph(spark, sf_dir)
+    flags = nodes.agg(F.count("*").alias("n_nodes"), F.bool_or(F.col("kind").isin(*schema.OPERATIONS)).alias("has_contract"), F.bool_or(F.col("kind").isin(*schema.PLANES["infra"])).alias("has_infra"))
+    return flags.join(edges.agg(F.count("*").alias("n_edges")), F.lit(True))
+
+
+@query("SELECT concat(p_brand, '.json') AS file, CASE WHEN p_size % 2 = 0 THEN concat('op', p_size) ELSE concat('GET /t/', p_size, '/{}') END AS key, 'GET' AS method, concat('/t/', p_size, '/{}') AS norm_path FROM part GROUP BY p_brand, p_size", graph=False)
+def extract_openapi(spark, sf_dir):
+    """A document per brand, with a path per size, read back."""
+    from cairn.sources import contracts
+
+    p = _t(spark, sf_dir, "part").select("p_brand", "p_size").distinct()
+    one = F.concat(F.lit('"/t/'), "p_size", F.lit('/{id}": {"get": {'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('"operationId": "op'), "p_size", F.lit('"'))).otherwise(""), F.lit("}}"))
+    text = F.concat(F.lit('{"openapi": "3.0.0", "paths": {'), F.array_join(F.collect_list(one), ", "), F.lit("}}"))
+    files = p.groupBy(F.concat("p_brand", F.lit(".json")).alias("path")).agg(text.alias("text"))
+    return contracts.operations(files).select("file", "key", "method", "norm_path")
+
+
+@query("SELECT DISTINCT replace(p_type, ' ', '_') AS \"table\", concat('s', p_size) AS \"column\", concat('varchar(', p_size, ')') AS sql_type, p_size % 3 <> 0 AS nullable, CASE WHEN p_size % 5 = 0 THEN 'other' END AS ref_table FROM part", graph=False)
+def extract_schema(spark, sf_dir):
+    """A table's statement per type, with a column per size, read back."""
+    from cairn.sources import ddl
+
+    p = _t(spark, sf_dir, "part").select(F.replace("p_type", F.lit(" "), F.lit("_")).alias("t"), "p_size").distinct()
+    one = F.concat(F.lit("s"), "p_size", F.lit(" varchar( "), "p_size", F.lit(" )"), F.when(F.col("p_size") % 3 == 0, " NOT NULL").otherwise(""), F.when(F.col("p_size") % 5 == 0, " references x.other (id)").otherwise(""))
+    text = F.concat(F.lit("-- a; b\nCREATE TABLE IF NOT EXISTS "), "t", F.lit(" (gone int, "), F.array_join(F.collect_list(one), ",\n"), F.lit("); ALTER TABLE "), "t", F.lit(" DROP COLUMN gone;"))
+    files = p.groupBy("t").agg(text.alias("text")).select(F.col("t").alias("path"), "text")
+    return ddl.columns(files).select("table", "column", "sql_type", "nullable", "ref_table")
+
+
+@query("SELECT concat('n', c_nationkey, '.py') AS file, concat('C', c_custkey) AS owner, concat('seg_', lower(c_mktsegment)) AS name, CASE WHEN c_acctbal > 0 THEN 'bank' END AS receiver FROM customer", graph=False)
+def extract_python_calls(spark, sf_dir):
+    """A module per nation, with a function per customer that calls one of its segment, read back."""
+    from cairn.sources import python_code
+
+    c = _t(spark, sf_dir, "customer")
+    one = F.concat(F.lit("def C"), "c_custkey", F.lit("():\n    return "), F.when(F.col("c_acctbal") > 0, "bank.").otherwise(""), F.lit("seg_"), F.lower("c_mktsegment"), F.lit("('call(1)')  # call(2)\n"))
+    files = c.groupBy(F.concat(F.lit("n"), "c_nationkey", F.lit(".py")).alias("path")).agg(F.array_join(F.collect_list(one), "\n").alias("text"))
+    return python_code.facts(files).where("record = 'call'").select("file", "owner", "name", F.col("value").alias("receiver"))
+
+
+@query("SELECT doc_id AS path, CASE WHEN lower(coalesce(text, '')) = coalesce(text, '') THEN 'cached' ELSE 'parsed' END AS made, length(coalesce(text, '')) AS n FROM documents", graph=False)
+def parse_cache_reuse(spark, sf_dir):
+    """Documents as files, their lower-case texts as what the cache saw."""
+    from cairn.sources import files
+
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    facts = lambda f, made: f.select("path", F.lit(made).alias("made"), F.char_length("text").cast("long").alias("n"))
+    seen = files.with_hash(d.withColumn("text", F.lower("text")))
+    cache = facts(seen, "cached").join(seen.select("path", "hash"), "path").withColumn("schema_version", F.lit(3))
+    return files.reuse(d, cache, 3, lambda f: facts(f, "parsed")).select("path", "made", "n")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.ranked(_QUERIES["impact_full"](spark, sf_dir))
 

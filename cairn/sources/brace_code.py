@@ -190,5 +190,5 @@ def parse(path: str, text: str) -> list[tuple]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """path, error and the facts of TypeScript, C# and Rust files, told apart by their extensions."""
+    """file, error and the facts of TypeScript, C# and Rust files, told apart by their extensions."""
     return per_file(files, parse, CODE)

@@ -243,10 +243,10 @@ def parse(path: str, text: str) -> list[tuple]:
 
 
 def operations(files: DataFrame) -> DataFrame:
-    """path, error and the operations of contract files; a file that isn't sound is one row with its error."""
+    """file, error and the operations of contract files; a file that isn't sound is one row with its error."""
     return per_file(files, parse, OPERATIONS)
 
 
 def selections(files: DataFrame) -> DataFrame:
-    """path, error, kind, key of GraphQL documents."""
+    """file, error, kind, key of GraphQL documents."""
     return per_file(files, documents, "kind string, key string")

@@ -207,10 +207,10 @@ def _rows(path: str, text: str) -> list[tuple]:
 
 
 def columns(files: DataFrame) -> DataFrame:
-    """path, error and the columns of the tables that each SQL file leaves behind, with the key a column holds."""
+    """file, error and the columns of the tables that each SQL file leaves behind, with the key a column holds."""
     return per_file(files, _rows, COLUMNS)
 
 
 def table_references(files: DataFrame) -> DataFrame:
-    """path, error, table, access of SQL texts."""
+    """file, error, table, access of SQL texts."""
     return per_file(files, lambda path, text: references(text), "table string, access string")

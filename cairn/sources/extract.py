@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: A fact found in source text. record: symbol, import, call, route, http, resolver, sql, orm.
 CODE = "record string, kind string, name string, fqn string, owner string, value string, line int, end_line int, col int"
 
 
 def per_file(files: DataFrame, parse: Callable[[str, str], Iterable[tuple]], fields: str) -> DataFrame:
-    """path, error and the fields of every row that parse(path, text) gives. A file that can't be parsed gives one row with its error and no fields, and stops no other file. files: path, text."""
-    names = [f.split()[0] for f in fields.replace("<", " ").split(", ")] if "<" not in fields else None
+    """file, error and the fields of every row that parse(path, text) gives. A file that can't be parsed gives one row with its error and no fields, and stops no other file. files: path, text."""
+    columns = T.StructType.fromDDL(fields).fieldNames()
 
     def run(batches):
         import pandas as pd
@@ -23,12 +24,7 @@ def per_file(files: DataFrame, parse: Callable[[str, str], Iterable[tuple]], fie
                 try:
                     rows += [(path, None, *r) for r in parse(path, text or "")]
                 except (ValueError, KeyError, TypeError, AttributeError, IndexError, RecursionError) as e:
-                    rows.append((path, f"{type(e).__name__}: {e}"[:200], *([None] * width)))
-            frame = pd.DataFrame(rows, columns=["path", "error", *columns], dtype=object)
-            yield frame
+                    rows.append((path, f"{type(e).__name__}: {e}"[:200], *([None] * len(columns))))
+            yield pd.DataFrame(rows, columns=["file", "error", *columns], dtype=object)
 
-    from pyspark.sql.types import StructType
-
-    columns = names or StructType.fromDDL(fields).fieldNames()
-    width = len(columns)
-    return files.select("path", "text").mapInPandas(run, f"path string, error string, {fields}")
+    return files.select("path", "text").mapInPandas(run, f"file string, error string, {fields}")

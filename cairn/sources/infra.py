@@ -235,10 +235,10 @@ def _parse(path: str, text: str) -> list[tuple]:
 
 
 def resources(files: DataFrame) -> DataFrame:
-    """path, error and the resources of templates; a malformed one is one row with its error."""
+    """file, error and the resources of templates; a malformed one is one row with its error."""
     return per_file(files, _parse, RESOURCES)
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """path, error, name, config_path of Terragrunt units."""
+    """file, error, name, config_path of Terragrunt units."""
     return per_file(files, units, "name string, config_path string")

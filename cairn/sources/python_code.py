@@ -156,5 +156,5 @@ def parse(path: str, text: str) -> list[tuple]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """path, error and the facts of Python files; a file that doesn't parse is one row with its error. A symbol's value is its docstring, a call's its receiver, an import's its module, a route's its path."""
+    """file, error and the facts of Python files; a file that doesn't parse is one row with its error. A symbol's value is its docstring, a call's its receiver, an import's its module, a route's its path."""
     return per_file(files, parse, CODE)
