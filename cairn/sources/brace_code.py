@@ -111,8 +111,12 @@ def outline(text: str, language: str) -> list[tuple]:
             body = next((j for j in range(i + 2, len(ts)) if ts[j][1] in "{;"), None)
             declare(i, TYPES[language][t], word(i + 1), body if body is not None and word(body) == "{" else None, True)
             declared.add(i + 1)
-            if language == "ts" and word(i - 1) == ")" and (a := next((j for j in range(i - 1, max(i - 40, -1), -1) if word(j) == "@"), None)) is not None and word(a + 1) == "Entity" and kind(a + 3) == "string":
-                add("orm", a, "table", word(i + 1), word(i + 1), _unquoted(word(a + 3)))
+            before = i - 1
+            while word(before) in ("export", "default", "abstract", "declare"):
+                before -= 1
+            if language == "ts" and word(before - 4) == "@" and word(before - 3) == "Entity" and kind(before - 1) == "string" and word(before) == ")":
+                a = before - 4
+                add("orm", a, "table", word(i + 1), word(i + 1), _unquoted(word(before - 1)))
         elif language == "rust" and t == "impl":
             body = next((j for j in range(i, len(ts)) if ts[j][1] in "{;"), len(ts))
             head = [j for j in range(i + 1, body) if kind(j) == "word"]

@@ -34,7 +34,7 @@ def read(spark: SparkSession, root: str, extensions: tuple[str, ...], patterns:
     below = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "^" + re.escape("/" + re.sub("^[a-z0-9]+:/*", "/", root).strip("/")) + "/", "")
     files = raw.select(below.alias("path"), F.col("content"))
     inside = F.col("path").rlike("(^|/)(" + "|".join(re.escape(s) for s in skipped) + ")/")
-    return files.where(~inside & ~ignored("path", list(patterns))).select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(~inside & ~ignored("path", list(patterns))).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def is_markdown_kept(path: str) -> Column:
