@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn import schema
 from cairn.functions import scalars
-from cairn.operators import code_links, infra_links, linkers, metrics, views, walk
+from cairn.operators import code_links, infra_links, linkers, metrics, overlay, views, walk
 from cairn.plans import derived
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,6 +463,39 @@ def parse_cache_reuse(spark, sf_dir):
     return files.reuse(d, cache, 3, lambda f: facts(f, "parsed")).select("path", "made", "n")
 
 
+_FOUND = "SELECT l_orderkey AS site, concat('S', l_suppkey) AS uid, 'Inferred' AS provenance, CAST(0.8 AS FLOAT) AS confidence, concat('S', o_custkey) AS caller FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+_TOLD = "SELECT o_orderkey AS site, concat('S', min(l_suppkey)) AS uid, concat('S', o_custkey) AS caller FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' WHERE o_orderstatus = 'F' GROUP BY o_orderkey, o_custkey HAVING min(l_suppkey) IS NOT NULL"
+
+
+@query(f"WITH f AS ({_FOUND}), t AS ({_TOLD}) SELECT site, caller, uid, provenance, confidence FROM f WHERE site NOT IN (SELECT site FROM t) UNION ALL SELECT site, caller, uid, 'Resolved', CAST(0.97 AS FLOAT) FROM t WHERE caller <> uid", graph=False)
+def overlay_supersedes(spark, sf_dir):
+    """Order lines as what linkers found, returned lines of filled orders as what an index tells."""
+    return overlay.supersede(_sql(spark, sf_dir, _FOUND, "lineitem", "orders"), _sql(spark, sf_dir, _TOLD, "lineitem", "orders"))
+
+
+@query(f"WITH f AS (SELECT DISTINCT site, uid FROM ({_FOUND})), t AS (SELECT site, uid FROM ({_TOLD})), n AS (SELECT site, count(*) AS n FROM f GROUP BY 1) SELECT coalesce(n.site, t.site) AS site, coalesce(n, 0) AS n_found, t.site IS NOT NULL AS covered, t.site IS NOT NULL AND (t.site, t.uid) IN (SELECT (site, uid) FROM f) AS confirmed FROM n FULL OUTER JOIN t ON n.site = t.site", graph=False)
+def differential_sites(spark, sf_dir):
+    return overlay.differential(_sql(spark, sf_dir, _FOUND, "lineitem", "orders"), _sql(spark, sf_dir, _TOLD, "lineitem", "orders"))
+
+
+@query("WITH s AS (SELECT s_suppkey, s_nationkey, CAST(floor(s_acctbal / 1000) AS BIGINT) AS k FROM supplier), e AS (SELECT s_nationkey, k, min(s_suppkey) AS one, count(*) AS n FROM s GROUP BY 1, 2) SELECT c_custkey AS site, concat('S', coalesce(x.s_suppkey, one)) AS uid, CASE WHEN x.s_suppkey IS NOT NULL THEN 1 ELSE 2 END AS tier FROM customer LEFT JOIN s x ON x.s_suppkey = c_custkey AND x.s_nationkey = c_nationkey AND x.k = CAST(floor(c_acctbal / 1000) AS BIGINT) LEFT JOIN e ON e.s_nationkey = c_nationkey AND e.k = CAST(floor(c_acctbal / 1000) AS BIGINT) AND n = 1 WHERE coalesce(x.s_suppkey, one) IS NOT NULL", graph=False)
+def overlay_resolves(spark, sf_dir):
+    """Customers as call sites and as what an index tells of them, suppliers as symbols: nations are files, keys lines, thousands of balance names."""
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    key = F.col("c_custkey")
+    sites = c.select(key.alias("site"), F.col("c_nationkey").alias("file"), key.alias("line"), F.lit(0).alias("col"))
+    occurrences = c.select(F.col("c_nationkey").alias("file"), key.alias("line"), F.lit(0).alias("col"), F.concat(F.lit("sym"), key).alias("symbol"))
+    definitions = c.select(F.concat(F.lit("sym"), key).alias("symbol"), F.col("c_nationkey").alias("def_file"), key.alias("def_line"), F.floor(F.col("c_acctbal") / 1000).alias("name"))
+    symbols = s.select(F.concat(F.lit("S"), "s_suppkey").alias("uid"), F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("line"), F.floor(F.col("s_acctbal") / 1000).alias("name"))
+    return overlay.resolve_sites(sites, occurrences, definitions, symbols)
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS row, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, line, row, unnest(range(1, length(row) + 1)) AS i FROM l WHERE contains(row, 'und')) SELECT doc_id AS path, line, i - 1 AS col FROM p WHERE substr(row, i, 3) = 'und' AND NOT regexp_matches(substr(row, i + 3, 1), '[A-Za-z0-9_$]') AND (i = 1 OR NOT regexp_matches(substr(row, i - 1, 1), '[A-Za-z0-9_$]'))", graph=False)
+def rename_positions(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return overlay.rename_edits(d, "und").select("path", F.col("line").cast("long"), F.col("col").cast("long"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.ranked(_QUERIES["impact_full"](spark, sf_dir))
 
