@@ -221,6 +221,24 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(got[100 + i] == "" for i in range(len(plain)))
 
 
+@pytest.mark.parametrize(("alphabet", "least"), [("a-z0-9", 40), ("A-Z0-9", 40), ("a-z2-7", 48), ("A-Z2-7", 48), ("a-z", 96), ("A-Z", 96), ("a-zA-Z", 24), ("a-zA-Z0-9", 20), ("a-zA-Z0-9+/", 20), ("a-zA-Z0-9_-", 20)])
+def test_recall_of_every_alphabet_at_every_length(spark, alphabet, least):
+    """A secret is not the less found the longer it is. Below `least` a token of the alphabet is too like text."""
+    import random
+    import string
+
+    from cairn.llm import secrets
+
+    ranges = {"a-z": string.ascii_lowercase, "A-Z": string.ascii_uppercase, "0-9": string.digits, "2-7": "234567"}
+    symbols = "".join(ranges.get(x, x) for x in re.findall(r"\w-\w|.", alphabet))
+    rng, rows = random.Random(11), []
+    for n in (20, 24, 32, 40, 48, 64, 96, 128, 192, 256):
+        rows += [(1000 * n + i, f"text {''.join(rng.choice(symbols) for _ in range(n))} more") for i in range(100) if n >= least]
+    got = {r.doc_id: r.spans.split(",") for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(i // 1000 for i, spans in got.items() if f"random:5:{5 + i // 1000}" in spans)
+    assert min(found[i // 1000] for i in got) >= 90, found
+
+
 def test_redaction(odd):
     from cairn.llm import secrets
 
