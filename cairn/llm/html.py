@@ -6,7 +6,9 @@ scripts, styles or reader comments is told by element, role, class or id and is
 no content. Of the lines left, the ratio of characters outside links to tags is
 smoothed along the page, and a threshold between the two clusters of ratios picks
 content. If the page marks an article, all lines of the articles that hold
-picked lines are content, else all lines from the first picked to the last.
+picked lines are content. Else no line of text may be lost for being short: all
+lines of the smallest element are content that holds every heading and every line
+with text outside links.
 
 Nulls: a null page is empty and has the empty text. Repeated rows: each is
 extracted. Nothing is cut short.
@@ -33,30 +35,35 @@ NAMES = re.compile(
     r"breadcrumbs?|footer|foot|header|masthead|comment|comments|commentlist|respond|disqus|share|sharing|social|related|recommend\w*|toolbar|skip|pagination|pager)(?:$|[-_ ])",
     re.IGNORECASE,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"option", "legend", "summary", "caption"}
 SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """text, tags, characters in links, and the article of each line that isn't known to be outside the content."""
+    """text, tags, characters in links, article, innermost element, and whether it is a heading or has text outside links, of each line that isn't known to be outside the content."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, bool, int]] = []
+        # of each element, numbered as they open: the one around it, and the number of the first that opened after its end
+        self.around, self.ends = [0], [0]
         self.out = self.articles = self.links = 0
         self.article: list[int] = []
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
+        self.plain = False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.article[-1] if self.article else 0))
-        self.parts, self.tags, self.linked = [], 0, 0
+            said = self.plain or any(x[0] in HEADINGS for x in self.open[-4:])
+            self.lines.append((text, self.tags, self.linked, self.article[-1] if self.article else 0, self.open[-1][3] if self.open else 0, said))
+        self.parts, self.tags, self.linked, self.plain = [], 0, 0, False
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P and any(t == "p" for t, _ in self.open[-4:]):
+        if tag in CLOSES_P and any(x[0] == "p" for x in self.open[-4:]):
             self.close("p")
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
             self.close(tag)
@@ -72,10 +79,12 @@ class Lines(HTMLParser):
         out = tag in OUTSIDE or (tag == "header" and not self.article) or (given.get("role") or "").lower() in ROLES or "hidden" in given
         out = out or (tag not in ("html", "body", "article", "main") and len(named) > 1 and bool(NAMES.search(named)))
         out = out or (given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "").lower())
-        self.open.append((tag, out))
+        link = tag == "a" and "href" in given
+        self.around.append(self.open[-1][3] if self.open else 0)
+        self.open.append((tag, out, link, len(self.ends)))
+        self.ends.append(0)
         self.out += out
-        if tag == "a":
-            self.links += 1
+        self.links += link
         if tag in ("article", "main"):
             self.articles += 1
             self.article.append(self.articles)
@@ -94,12 +103,12 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.end_line()
         while len(self.open) > k:
-            name, out = self.open.pop()
+            name, out, link, number = self.open.pop()
+            self.ends[number] = len(self.ends)
             if name in BLOCK:
                 self.end_line()
             self.out -= out
-            if name == "a":
-                self.links -= 1
+            self.links -= link
             if name in ("article", "main") and self.article:
                 self.article.pop()
 
@@ -113,6 +122,17 @@ class Lines(HTMLParser):
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
+            else:
+                self.plain = self.plain or not data.isspace()
+
+    def region(self, elements: list[int]) -> tuple[int, int]:
+        """First and last number of the smallest element that holds all these."""
+        ends = [e or len(self.ends) for e in self.ends]  # what is never closed ends with the page
+        ends[0] = len(ends)
+        first, last = min(elements), max(elements)
+        while ends[first] <= last:
+            first = self.around[first]
+        return first, ends[first] - 1
 
 
 def smoothed(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -144,14 +164,15 @@ def main_text(page: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines], float)
-    even = smoothed(ratio)
-    picked = np.nonzero(even >= threshold(even))[0]
     if parser.articles:
+        ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, *_ in lines], float)
+        even = smoothed(ratio)
+        picked = np.nonzero(even >= threshold(even))[0]
         held = {lines[i][3] for i in picked} - {0} or {x[3] for x in lines} - {0}
         chosen = [x[0] for x in lines if x[3] in held]
     else:
-        chosen = [x[0] for x in lines[picked[0] : picked[-1] + 1]] if len(picked) else []
+        first, last = parser.region([x[4] for x in lines if x[5]] or [x[4] for x in lines])
+        chosen = [x[0] for x in lines if first <= x[4] <= last]
     return "\n".join(chosen)
 
 

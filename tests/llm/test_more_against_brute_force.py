@@ -124,6 +124,19 @@ def test_html(spark):
     assert html.extract(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(20, 18, 900, 1200, 1000, 120, 90, 80, 60), (30, 120, 150, 4000, 160, 140, 120, 100), (10, 9000, 10, 5), (5, 5, 5, 5, 9000)])
+@pytest.mark.parametrize("line", ["<p>{}</p>", "<div><p>{}</p></div>", "<h2>{}</h2>"])
+def test_html_without_article_keeps_every_line(sizes, line):
+    """Beside very long paragraphs, short ones and headings at both ends are text too; lists of links outside of the text aren't."""
+    from cairn.llm import html
+
+    texts = ["x" * (n - 1) + str(k) for k, n in enumerate(sizes)]
+    body = "".join(line.format(t) for t in texts)
+    assert html.main_text(f"<html><body>{body}</body></html>") == "\n".join(texts)
+    links = "<ul><li><a href=1>Home</a></li><li><a href=2>About</a></li></ul>"
+    assert html.main_text(f"<body>{links}<div><h1><a href=3>Title</a></h1>{body}</div>{links}</body>") == "\n".join(["Title", *texts])
+
+
 def test_counts_after_edits(docs):
     from cairn.llm import counts, tokens
 
