@@ -3,7 +3,8 @@
 The standard library's parser streams events; block-level tags end a line. What
 stands in menus, page headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments is told by element, role, class or id and is
-no content. Of the lines left, the ratio of characters outside links to tags is
+no content. A class or id counts as a whole, never on a heading, nor on an element
+that holds an article or most of the text outside links (but for reader comments). Of the lines left, the ratio of characters outside links to tags is
 smoothed along the page, and a threshold between the two clusters of ratios picks
 content. If the page marks an article, all lines of the articles that hold
 picked lines are content. Else no line of text may be lost for being short: all
@@ -30,12 +31,25 @@ BLOCK = frozenset(
 )
 OUTSIDE = frozenset("head title nav footer aside form script style noscript template button select textarea iframe object svg canvas dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widget|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|foot|header|masthead|comment|comments|commentlist|respond|disqus|share|sharing|social|related|recommend\w*|toolbar|skip|pagination|pager)(?:$|[-_ ])",
-    re.IGNORECASE,
+#: Names of what is outside, of what is so in a page but not in an article, and of reader comments.
+OUTER = (
+    r"ads?|advert[^\W_]*|adbox|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|cookie[^\W_]*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|widgets?|menu|nav|navbar|navigation|"
+    r"breadcrumbs?|footer|foot|share|sharing|social|related|recommend[^\W_]*|toolbar|skip|pagination|pager"
 )
+OF_PAGE, OF_READERS = "header|masthead", "comments?|commentlist|respond|disqus"
+#: Words that may stand beside such a name in a class or id and change nothing: cookie-notice, ad-slot, share-buttons, but not no-sidebar or related-work.
+BESIDE = r"area|bar|block|box|button|buttons|container|inner|item|items|left|links?|list|outer|page|posts?|right|section|site|slot|thread|top|bottom|unit|wrap|wrapper|\d+"
+
+
+def _name(words: str) -> re.Pattern:
+    """A class or id that is one of the words, or made of them and of words that change nothing."""
+    beside = rf"(?:(?:{words}|{BESIDE})[-_]+)*"
+    return re.compile(rf"{beside}(?:{words})(?:[-_]+(?:{words}|{BESIDE}))*", re.IGNORECASE)
+
+
+IN_PAGE, IN_ARTICLE, COMMENTS = _name(f"{OUTER}|{OF_PAGE}|{OF_READERS}"), _name(f"{OUTER}|{OF_READERS}"), _name(OF_READERS)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNNAMED = HEADINGS | {"html", "body", "article", "main"}
 CLOSES_P = BLOCK - {"option", "legend", "summary", "caption"}
 SIGMA = 1.0
 
@@ -50,17 +64,39 @@ class Lines(HTMLParser):
         self.around, self.ends = [0], [0]
         self.out = self.articles = self.links = 0
         self.article: list[int] = []
-        self.lines: list[tuple[str, int, int, int, int, bool]] = []
-        self.parts: list[str] = []
-        self.tags = self.linked = 0
-        self.plain = False
+        # elements named as outside: number, the one around it, whether it holds reader comments, an article, how much text
+        self.named: list[int] = []
+        self.outer: dict[int, int] = {}
+        self.readers: set[int] = set()
+        self.holders: set[int] = set()
+        self.sizes: dict[int, int] = {}
+        self.made: list[tuple[list[tuple[str, bool, int]], int, int, int, bool]] = []
+        self.parts: list[tuple[str, bool, int]] = []
+        self.tags = 0
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            said = self.plain or any(x[0] in HEADINGS for x in self.open[-4:])
-            self.lines.append((text, self.tags, self.linked, self.article[-1] if self.article else 0, self.open[-1][3] if self.open else 0, said))
-        self.parts, self.tags, self.linked, self.plain = [], 0, 0, False
+        if self.parts:
+            heading = any(x[0] in HEADINGS for x in self.open[-4:])
+            self.made.append((self.parts, self.tags, self.article[-1] if self.article else 0, self.open[-1][3] if self.open else 0, heading))
+        self.parts, self.tags = [], 0
+
+    def lines(self) -> list[tuple[str, int, int, int, int, bool]]:
+        """The lines that are left once it is known which named elements are outside."""
+        held = dict(self.sizes)
+        for number in sorted(self.outer, reverse=True):
+            held[self.outer[number]] = held.get(self.outer[number], 0) + held.get(number, 0)
+        outside = {0: False}
+        for number in sorted(self.outer):
+            most = 2 * held.get(number, 0) > held.get(0, 0) and number not in self.readers
+            outside[number] = outside[self.outer[number]] or not (most or number in self.holders)
+        out = []
+        for parts, tags, article, element, heading in self.made:
+            parts = [x for x in parts if not outside[x[2]]]
+            text = " ".join("".join(x[0] for x in parts).split())
+            if text:
+                linked = sum(len(data) for data, link, _ in parts if link)
+                out.append((text, tags, linked, article, element, heading or any(not link and not data.isspace() for data, link, _ in parts)))
+        return out
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P and any(x[0] == "p" for x in self.open[-4:]):
@@ -71,22 +107,29 @@ class Lines(HTMLParser):
             self.end_line()
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", True, self.named[-1] if self.named else 0))
         if tag in VOID:
             return
         given = dict(attrs)
-        named = f"{given.get('class') or ''} {given.get('id') or ''}"
+        words = f"{given.get('class') or ''} {given.get('id') or ''}".split()
         out = tag in OUTSIDE or (tag == "header" and not self.article) or (given.get("role") or "").lower() in ROLES or "hidden" in given
-        out = out or (tag not in ("html", "body", "article", "main") and len(named) > 1 and bool(NAMES.search(named)))
         out = out or (given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "").lower())
         link = tag == "a" and "href" in given
         self.around.append(self.open[-1][3] if self.open else 0)
-        self.open.append((tag, out, link, len(self.ends)))
+        number = len(self.ends)
+        self.open.append((tag, out, link, number))
+        names = IN_ARTICLE if self.article else IN_PAGE
+        if tag not in UNNAMED and any(names.fullmatch(x) for x in words):
+            self.outer[number] = self.named[-1] if self.named else 0
+            self.named.append(number)
+            if any(COMMENTS.fullmatch(x) for x in words):
+                self.readers.add(number)
         self.ends.append(0)
         self.out += out
         self.links += link
         if tag in ("article", "main"):
             self.articles += 1
+            self.holders.update(self.named)
             self.article.append(self.articles)
 
     def handle_startendtag(self, tag, attrs):
@@ -105,6 +148,8 @@ class Lines(HTMLParser):
         while len(self.open) > k:
             name, out, link, number = self.open.pop()
             self.ends[number] = len(self.ends)
+            if self.named and self.named[-1] == number:
+                self.named.pop()
             if name in BLOCK:
                 self.end_line()
             self.out -= out
@@ -119,11 +164,10 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.out:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
-            else:
-                self.plain = self.plain or not data.isspace()
+            named = self.named[-1] if self.named else 0
+            self.parts.append((data, self.links > 0, named))
+            if not self.links:
+                self.sizes[named] = self.sizes.get(named, 0) + len(data.strip())
 
     def region(self, elements: list[int]) -> tuple[int, int]:
         """First and last number of the smallest element that holds all these."""
@@ -161,7 +205,7 @@ def main_text(page: str) -> str:
     parser.feed(page)
     HTMLParser.goahead(parser, True)
     parser.end_line()
-    lines = parser.lines
+    lines = parser.lines()
     if not lines:
         return ""
     if parser.articles:

@@ -137,6 +137,38 @@ def test_html_without_article_keeps_every_line(sizes, line):
     assert html.main_text(f"<body>{links}<div><h1><a href=3>Title</a></h1>{body}</div>{links}</body>") == "\n".join(["Title", *texts])
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="content no-sidebar"><article><p>Body.</p></article></div>', "Body."),
+        ('<div class="has-sidebar"><article><p>Body.</p></article></div>', "Body."),
+        ('<div class="sidebar" id="menu"><main><p>Body.</p></main></div>', "Body."),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>Body.</p></article>', "Title\nBody."),
+        ('<article><header class="header"><h1>Title</h1></header><p>Body.</p></article>', "Title\nBody."),
+        ('<article><div class="post-header"><h1>Title</h1></div><p>Body.</p></article>', "Title\nBody."),
+        ('<article><h2 id="related-work">A</h2><p>a</p><h2 id="side-effects">B</h2><p>b</p><h2 id="menu">C</h2><p>c</p></article>', "A\na\nB\nb\nC\nc"),
+        (f'<div class="widget"><p>{"word " * 50}</p></div><p>Rest.</p>', ("word " * 50).strip() + "\nRest."),
+        ('<div class="nav"><a href="1">Long names of many other pages</a></div><p>Text.</p>', "Text."),
+        ('<article><p>Body.</p><div class="share-buttons">Share</div><div class="ad-slot">Buy</div><div class="related-posts">More</div></article>', "Body."),
+        (f'<article><p>Body with <span class="ad">buy</span> text.</p><div id="comments">{"said " * 50}</div></article>', "Body with text."),
+    ],
+)
+def test_html_names_count_as_a_whole(page, want):
+    from cairn.llm import html
+
+    assert html.main_text(page) == want
+
+
+def test_html_names_are_read_in_time():
+    import time
+
+    from cairn.llm import html
+
+    began = time.time()
+    assert html.main_text(f'<div class="{"advert_" * 400}!"><p>Text.</p></div>') == "Text."
+    assert time.time() - began < 5
+
+
 def test_counts_after_edits(docs):
     from cairn.llm import counts, tokens
 
