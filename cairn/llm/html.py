@@ -49,6 +49,8 @@ def _name(words: str) -> re.Pattern:
 
 IN_PAGE, IN_ARTICLE, COMMENTS = _name(f"{OUTER}|{OF_PAGE}|{OF_READERS}"), _name(f"{OUTER}|{OF_READERS}"), _name(OF_READERS)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head: anything else ends a head that wasn't closed.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 UNNAMED = HEADINGS | {"html", "body", "article", "main"}
 CLOSES_P = BLOCK - {"option", "legend", "summary", "caption"}
 SIGMA = 1.0
@@ -99,6 +101,8 @@ class Lines(HTMLParser):
         return out
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or (tag not in IN_HEAD and self.open and self.open[-1][0] == "head"):
+            self.close("head")
         if tag in CLOSES_P and any(x[0] == "p" for x in self.open[-4:]):
             self.close("p")
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
@@ -163,6 +167,8 @@ class Lines(HTMLParser):
             self.close(tag)
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self.close("head")
         if not self.out:
             named = self.named[-1] if self.named else 0
             self.parts.append((data, self.links > 0, named))

@@ -169,6 +169,22 @@ def test_html_names_are_read_in_time():
     assert time.time() - began < 5
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><body><article><p>Body.</p></article></body></html>", "Body."),
+        ("<html><head><title>T</title><meta charset=utf-8><body class=x><p>Body.</p>", "Body."),
+        ("<head><title>T</title><p>Body.</p>", "Body."),
+        ("<head><title>T</title>Body.", "Body."),
+        ("<head><title>T</title><style>p{}</style><script>x</script><noscript><p>Enable</p></noscript></head><body><p>Body.</p></body>", "Body."),
+    ],
+)
+def test_html_head_that_is_not_closed(page, want):
+    from cairn.llm import html
+
+    assert html.main_text(page) == want
+
+
 def test_counts_after_edits(docs):
     from cairn.llm import counts, tokens
 
