@@ -32,6 +32,17 @@ def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 
+def identity(docs: DataFrame) -> Column:
+    """doc_id, and for a row without one a key made of its text, from 2^62 on: rows without an id are one document only if their texts are equal."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """As id_and_text, but doc_id is the identity; given is the doc_id the row came with."""
+    return docs.select(identity(docs).alias("doc_id"), docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("given"))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -14,7 +14,10 @@ coordinates a pair at the threshold of 0.85 is missed with a chance under 1e-5.
 Nulls: a null text has no words. Without words: empty set, linked with nothing.
 Fewer words than a shingle has: the whole sequence is the one shingle. Ties:
 the smallest doc_id names a component. Repeated rows of one doc_id are returned
-once each. Other columns of the input are left out.
+once each. Other columns of the input are left out. Null doc_ids: such rows are
+documents of their own, one for each text. They are compared like all others,
+but name no component that has a doc_id, and are not kept there; of a component
+without any doc_id (a null component_id) those of one text are kept.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.components import connected_components
 
-from .common import byte_views, id_and_text, settle
+from .common import byte_views, identity, keyed, settle
 
 SHINGLE, BANDS, ROWS = 3, 16, 4
 #: Bytes of sets, and sets, that one task compares with each other at most.
@@ -100,7 +103,7 @@ def signature(shingles: np.ndarray, shifts: np.ndarray = _SHIFTS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits that name the set), bands (a 64-bit key each)."""
+    """doc_id, given, n_shingles, set_a, set_b (128 bits that name the set), bands (a 64-bit key each). docs: as keyed."""
 
     def sign(batches):
         import pyarrow as pa
@@ -121,9 +124,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
                             h = _mixed(h * _MIX[0] + part[:, r])
                     keys[i] = h.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count), pa.array(names[:, 0]), pa.array(names[:, 1]), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("given"), pa.array(count), pa.array(names[:, 0]), pa.array(names[:, 1]), lists], names=["doc_id", "given", "n_shingles", "set_a", "set_b", "bands"])
 
-    return id_and_text(docs).mapInArrow(sign, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, given long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 class _Joined:
@@ -193,7 +196,7 @@ def links_among(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def verified(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """a, b: confirmed links that join what the links of each task's sets join. members: rep, set_a, set_b, key (of the task)."""
-    texts = id_and_text(docs)
+    texts = keyed(docs)
     rows = members.join(texts, members.rep == texts.doc_id).select("key", "rep", "set_a", "set_b", "text")
     rows = rows.repartition("key").sortWithinPartitions("key", "rep")
 
@@ -227,7 +230,12 @@ def verified(members: DataFrame, docs: DataFrame, percent: int, size: int) -> Da
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. percent: the least Jaccard of a link, in hundredths; size: words of a shingle."""
-    signed = settle(signatures(docs, size, bands, rows))
+    return judged(docs, percent, size, bands, rows).select(F.col("given").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def judged(docs: DataFrame, percent: int, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id (the identity), given, n_shingles, component_id, kept."""
+    signed = settle(signatures(keyed(docs), size, bands, rows))
     some = signed.where("n_shingles > 0")
     classes = settle(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     banded = classes.select("rep", F.posexplode("bands").alias("band", "value"))
@@ -245,17 +253,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     linked = connected_components(verified(members, docs, percent, size))
     named = classes.join(linked, classes.rep == linked.node, "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     named = settle(named)
-    out = some.join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = some.join(named, ["set_a", "set_b"]).select("doc_id", "given", "n_shingles", "component_id")
+    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "given", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if signed.where("given is null").isEmpty():
+        return out
+    # a component is named by the least doc_id there is, whatever its rows without one are
+    names = settle(out.groupBy("component_id").agg(F.min("given").alias("least")))
+    out = out.join(names, "component_id").withColumn("kept", F.when(F.col("least").isNull(), F.col("kept")).otherwise(F.coalesce(F.col("given") == F.col("least"), F.lit(False))))
+    return out.select("doc_id", "given", "n_shingles", F.col("least").alias("component_id"), "kept")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The documents that stay, with all columns they came with: of each component the smallest doc_id, and one row of it."""
-    stay = near_duplicates(docs, percent, size).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    """The documents that stay, with all columns they came with: of each component the smallest doc_id, and one row of it; of a component without doc_ids one row."""
+    stay = judged(docs, percent, size).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     stay = settle(stay)
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_document"), docs["doc_id"].cast("long").alias("_id"))
-    kept = whole.join(stay, whole["_id"].eqNullSafe(stay["doc_id"]))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_document"), identity(docs).alias("_id"))
+    kept = whole.join(stay, whole["_id"] == stay["doc_id"])
     if not stay.where("_rows > 1").isEmpty():
-        kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.hash("_document")))).where("_nth = 1")
+        kept = kept.groupBy("_id").agg(F.min_by("_document", F.hash("_document")).alias("_document"))
     return kept.select("_document.*")

@@ -11,7 +11,8 @@ land where its words come nearest to the target.
 
 Nulls: a null source is a source of its own, the last; a null text has no words
 and is taken 0 words. Empty table: no rows. Ties and repeated rows: by the order
-of (hash of doc_id, doc_id, size); reruns agree. Sources are counted on the
+of (hash of doc_id, doc_id, size); reruns agree. Rows with a null doc_id are mixed
+like others; in what remix returns those of one text count as rows of one doc_id. Sources are counted on the
 driver, one row each.
 """
 
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, settle
+from .common import identity, n_words, settle
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -140,9 +141,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK)
 
 def remix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """Every document as often as the mix takes it, with all columns it came with. Rows of one doc_id share what they are taken, the first of them the odd ones."""
-    chosen = settle(mix(docs, weights, most, block).groupBy("doc_id").agg(F.sum("times").alias("_n"), F.count("*").alias("_rows"))).where("_n > 0")
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_document"), docs["doc_id"].cast("long").alias("_id"))
-    joined = whole.join(chosen, whole["_id"].eqNullSafe(chosen["doc_id"]))
+    named = docs.select(identity(docs).alias("doc_id"), docs["source"], docs["text"])
+    chosen = settle(mix(named, weights, most, block).groupBy("doc_id").agg(F.sum("times").alias("_n"), F.count("*").alias("_rows"))).where("_n > 0")
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_document"), identity(docs).alias("_id"))
+    joined = whole.join(chosen, whole["_id"] == chosen["doc_id"])
     share = F.col("_n")
     if not chosen.where("_rows > 1").isEmpty():
         nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.hash("_document")))

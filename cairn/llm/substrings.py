@@ -14,7 +14,9 @@ are routed by anchor instead of merged by binary search.
 A string counts as repeated if it starts earlier in a smaller doc_id or earlier in
 the same document; strings are judged on the input, and overlapping ones count.
 Nulls: a null text is empty. Texts under 100 bytes stay. Rows of one doc_id must
-hold one text; each is returned.
+hold one text; each is returned. Rows with a null doc_id are compared too, after
+all ids below 2^62, in the order of a hash of their texts; those of one text are
+rows of one document.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, id_and_text, settle
+from .common import byte_views, keyed, settle
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that hashes are made of at a time.
@@ -166,7 +168,7 @@ def runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in range(4)], names=["m", "seg", "doc_id", "at"])
 
-    return id_and_text(docs).where("text is not null and doc_id is not null").mapInArrow(cut, "m long, seg long, doc_id long, at long")
+    return keyed(docs).where("text is not null").select("doc_id", "text").mapInArrow(cut, "m long, seg long, doc_id long, at long")
 
 
 def _lists(column, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -205,7 +207,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     del classes, several, firsts
     release(spark)
     shards = max(1, (asked.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS + 1)
-    texts = id_and_text(docs).where("text is not null")
+    texts = keyed(docs).where("text is not null")
     rows = texts.join(asked, texts.doc_id == asked.id).select("doc_id", "text", "asked")
 
     def fetch(batches):
@@ -279,8 +281,8 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("cut")).withColumnRenamed("doc_id", "id")
     spans = settle(spans)
     release(docs.sparkSession)
-    given = id_and_text(docs)
-    rows = given.join(spans, given.doc_id == spans.id, "left").select("doc_id", "text", "cut")
+    rows = keyed(docs)
+    rows = rows.join(spans, rows.doc_id == spans.id, "left").select(F.col("given").alias("doc_id"), "text", "cut")
 
     def remove(batches):
         import pyarrow as pa
