@@ -124,8 +124,8 @@ def members_with_dependents(nodes: DataFrame, edges: DataFrame, targets: DataFra
     return alive.join(nodes.select("uid", "name"), "uid").select(F.col("owner").alias("target"), F.col("uid").alias("member"), "name")
 
 
-def subgraph(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 2, kinds: tuple[str, ...] = (), most: int = 500) -> tuple[DataFrame, DataFrame, bool]:
-    """Vertices within `depth` (at most 3) hops in either direction, nearest and then least uid first, at most `most`; the edges met; whether vertices were left out."""
+def subgraph(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 2, kinds: tuple[str, ...] = (), most: int | None = 500) -> tuple[DataFrame, DataFrame, bool]:
+    """Vertices within `depth` (at most 3) hops in either direction, nearest and then least uid first, at most `most` (None: all); the edges met; whether vertices were left out."""
     used = live(nodes, edges)
     if kinds:
         used = used.where(F.col("kind").isin(*kinds))
@@ -134,7 +134,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, start: str, depth: int = 2, kin
     for d in range(1, min(depth, 3) + 1):
         new = seen.where(F.col("depth") == d - 1).join(both, seen.uid == both.here).select(F.col("there").alias("uid")).distinct().join(seen, "uid", "left_anti")
         seen = seen.unionByName(new.withColumn("depth", F.lit(d)))
-    chosen = seen.orderBy("depth", "uid").limit(most)
+    chosen = seen if most is None else seen.orderBy("depth", "uid").limit(most)
     inside = chosen.select("uid")
     met = used.join(inside, used.src == inside.uid, "left_semi").join(inside, used.dst == inside.uid, "left_semi")
-    return chosen.join(nodes, "uid"), met, seen.limit(most + 1).count() > most
+    return chosen.join(nodes, "uid"), met, most is not None and seen.limit(most + 1).count() > most

@@ -155,7 +155,7 @@ def members_with_dependents(spark, sf_dir):
 @query(f", b AS MATERIALIZED (SELECT src AS here, dst AS there FROM g_edges WHERE kind IN ('Calls', 'Produces') UNION SELECT dst, src FROM g_edges WHERE kind IN ('Calls', 'Produces')), s0 AS ({FUNCTION}), s1 AS (SELECT DISTINCT there AS uid FROM b WHERE here IN (SELECT uid FROM s0)), s2 AS (SELECT DISTINCT there AS uid FROM b WHERE here IN (SELECT uid FROM s1)), a AS (SELECT uid, 0 AS depth FROM s0 UNION ALL SELECT uid, 1 FROM s1 UNION ALL SELECT uid, 2 FROM s2) SELECT a.uid, min(a.depth) AS depth, n.kind FROM a JOIN g_nodes n ON n.uid = a.uid GROUP BY a.uid, n.kind")
 def subgraph_d2(spark, sf_dir):
     nodes, edges, one = _targets(spark, sf_dir, "Function")
-    return walk.subgraph(nodes, edges, one.first()["uid"], 2, ("Calls", "Produces"), most=1_000_000)[0].select("uid", "depth", "kind")
+    return walk.subgraph(nodes, edges, one.first()["uid"], 2, ("Calls", "Produces"), most=None)[0].select("uid", "depth", "kind")
 
 
 _OWN = "SELECT uid FROM g_nodes WHERE path <> '' AND path = (SELECT min(path) FROM g_nodes WHERE kind = 'Function') AND kind NOT IN ('Repo', 'Package', 'File', 'Module', 'Doc', 'DocSection')"

@@ -105,3 +105,12 @@ def test_markdown_sections(spark):
     assert [(x.form, x.ref) for x in got[1].refs] == [("path", "src/a.ts"), ("fence", "foo.bar")]
     anchors = {(r.pos, r.anchor) for r in markdown.anchors(spark.createDataFrame([("d", 1, "One Two"), ("d", 2, "One two!"), ("d", 3, "Preamble")], "path string, pos int, heading string")).collect()}
     assert anchors == {(1, "one-two"), (2, "one-two-1"), (3, "preamble-1")}
+
+
+def test_subgraph_without_limit(spark):
+    nodes = spark.createDataFrame([(f"n{k}", "Function", f"n{k}", f"n{k}", "f", 1, 1) for k in range(600)], "uid string, kind string, name string, fqn string, path string, start_line int, end_line int")
+    edges = spark.createDataFrame([("n0", f"n{k}", "Calls", "Extracted", 1.0) for k in range(1, 600)], "src string, dst string, kind string, provenance string, confidence double")
+    found, met, cut = walk.subgraph(nodes, edges, "n0", 2, most=None)
+    assert (found.count(), met.count(), cut) == (600, 599, False)
+    found, met, cut = walk.subgraph(nodes, edges, "n0", 2, most=100)
+    assert (found.count(), met.count(), cut) == (100, 99, True)
