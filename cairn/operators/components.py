@@ -7,17 +7,10 @@ before they are shuffled. Rounds grow with the logarithm of a component's length
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def settle(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    return df.checkpoint(eager=True)
+from cairn.store import drop, settle
 
 
 def connected_components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -30,9 +23,11 @@ def connected_components(links: DataFrame, left: str = "a", right: str = "b") ->
     labels = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        nearer = labels.join(near, labels.node == near.a).select("node", F.least("component", "m").alias("via"), F.col("component").alias("old"))
-        nearer = settle(nearer)
+        nearer = settle(labels.join(near, labels.node == near.a).select("node", F.least("component", "m").alias("via"), F.col("component").alias("old")))
         if nearer.where("via <> old").isEmpty():
+            drop(both, nearer)
             return labels
         ahead = nearer.select(F.col("node").alias("via"), F.col("via").alias("next"))
-        labels = settle(nearer.join(ahead, "via").select("node", F.col("next").alias("component")))
+        further = settle(nearer.join(ahead, "via").select("node", F.col("next").alias("component")))
+        drop(labels, nearer)
+        labels = further

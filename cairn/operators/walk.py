@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cairn import schema
 from cairn.functions.scalars import will_break
 
-from .components import settle
+from cairn.store import settle
 
 
 @dataclass(frozen=True)

@@ -68,7 +68,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The same, written once per session and folder: queries over a graph read it, they don't derive it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        from cairn.operators.components import settle
+        from cairn.store import settle
 
         nodes, edges = build(spark, sf_dir)
         _BUILT[key] = (settle(nodes), settle(edges))

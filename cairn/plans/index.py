@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import scalars
 from cairn.operators import code_links, linkers
-from cairn.operators.components import settle
+from cairn.store import settle
 from cairn.sources import brace_code, contracts, ddl, markdown, python_code
 
 
