@@ -1,22 +1,31 @@
-"""Exact removal of repeated strings of 100 bytes.
-
-What has to be compared is found by anchors: the least hash of the 32-byte strings
-within a 100-byte string depends on that string alone, so equal strings have equal
-anchors, and strings that share an anchor's place form a segment. Segments equal
-as a whole (by 64-bit anchor and 64-bit content) are one class, and only its first
-stands for it. Where an anchor has several classes, their firsts go to shards: a
-shard sorts its suffixes by Larsson-Sadakane refinement (groups that are still
-tied are split by the rank of what follows, at doubled depth), and the common
-prefixes of sorted neighbours of at least 100 bytes, read from the rank tables,
-tell which strings occurred earlier. As equal strings meet in one shard, shards
-are routed by anchor instead of merged by binary search.
+"""Exact removal of repeated strings of 100 bytes, by suffix arrays of shards.
+
+A shard is some whole texts of one input partition (a text longer than a shard is
+cut into pieces that overlap by 99 bytes, so that each string lies in one of them). Its
+suffixes are sorted by Larsson-Sadakane refinement: suffixes that still tie are
+sorted again by the rank of what follows, at doubled depth. Kasai's common
+prefixes of sorted neighbours tell which strings of 100 bytes are equal. (Kasai's
+step, that a suffix shares at most one byte less than the suffix before it in the
+text, holds with equality unless the bytes before differ; so only those exceptions
+are compared byte by byte and the rest follow from them in one pass.)
+
+Across shards, what stays of each shard, its distinct strings, is merged by
+binary search. Equal strings must meet for that: the least hash of the 32-byte
+strings within a string (its anchor) depends on the string alone, so strings are
+dealt by their anchor, neighbours with one anchor as one segment. Anchors that
+occur once in all shards are left out before any text is moved. In a task, the sorted
+runs of two shards at a time are merged by binary search of one in the other. An
+anchor with more than HOT segments is split: its strings are dealt one by one, by
+their own content, so that no text however common makes one large task.
 
 A string counts as repeated if it starts earlier in a smaller doc_id or earlier in
 the same document; strings are judged on the input, and overlapping ones count.
-Nulls: a null text is empty. Texts under 100 bytes stay. Rows of one doc_id must
-hold one text; each is returned. Rows with a null doc_id are compared too, after
-all ids below 2^62, in the order of a hash of their texts; those of one text are
-rows of one document.
+Nulls: a null text is empty. Rows with a null doc_id are compared too, after all
+ids below 2^62, in the order of a hash of their texts; those of one text are rows of
+one document. Texts under 100 bytes stay. Repeated rows are one document and each is
+returned; rows of one doc_id with other texts are documents of their own, in the order
+of a hash of the text. Empty table: no rows. Other columns are left out. Places
+are 64-bit, so a text has no greatest length.
 """
 
 from __future__ import annotations
@@ -28,14 +37,104 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, keyed, settle
+from .common import byte_views, drop, keyed, settle
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text that hashes are made of at a time.
-CHUNK = 4 << 20
-SHARD_ROWS = 20_000
+#: Bytes of a shard, about.
+SHARD = 4 << 20
+#: Segments of one anchor beyond which its strings are dealt one by one; segments merged at a time, about.
+HOT, AT_ONCE = 4096, 16_000
 
-_M = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_M = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F)]
+
+
+def words_at(x: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place on as one number, zeros beyond the end; one more place than x has."""
+    padded = np.concatenate([x, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(x) + 1, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
+
+
+def suffix_array(x: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes in order; beyond the end counts as least."""
+    n = len(x)
+    word = (words_at(x) if word is None else word)[:n]
+    order = np.argsort(word).astype(np.int64)
+    s = word[order]
+    head = np.concatenate([[True], s[1:] != s[:-1]])[:n]
+    begin = np.nonzero(head)[0]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
+    tied = np.nonzero(~head | np.append(~head[1:], False))[0] if n else begin
+    depth = 8
+    while len(tied):
+        suffix = order[tied]
+        after = suffix + depth
+        follows = np.where(after < n, rank[np.minimum(after, n - 1)] + depth + 1, n - suffix)
+        key = (rank[suffix] << 32) | follows
+        way = np.argsort(key)
+        key, suffix = key[way], suffix[way]
+        order[tied] = suffix
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        begin = np.nonzero(head)[0]
+        rank[suffix] = np.repeat(tied[begin], np.diff(np.append(begin, len(tied))))
+        tied = tied[~head | np.append(~head[1:], False)]
+        depth *= 2
+    return order
+
+
+def _agree(x: np.ndarray, a: int, b: int, done: int) -> int:
+    most, step = len(x) - max(a, b), 1024
+    while done < most:
+        upto = min(done + step, most)
+        differ = x[a + done : a + upto] != x[b + done : b + upto]
+        if differ.any():
+            return done + int(differ.argmax())
+        done, step = upto, min(2 * step, 1 << 20)
+    return most
+
+
+def common_prefixes(x: np.ndarray, order: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+    """How many bytes each suffix, in order, shares with the one before it."""
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.int64)
+    word = words_at(x) if word is None else word
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    follows = np.zeros(n, bool)  # its value is that of the suffix one place earlier, less one
+    follows[1:] = (before[1:] > 0) & (x[:-1] == x[before[1:] - 1])
+    own = np.nonzero(~follows)[0]
+    a, b = own, before[own]
+    shared = np.zeros(len(own), np.int64)
+    active = np.nonzero(b >= 0)[0]
+    while len(active) > 200:
+        p, q = a[active] + shared[active], b[active] + shared[active]
+        d = word[np.minimum(p, n)] ^ word[np.minimum(q, n)]
+        same = np.full(len(d), 8)
+        some = np.nonzero(d)[0]
+        same[some] = sum((d[some] < np.uint64(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+        shared[active] += same
+        active = active[(same == 8) & (np.maximum(p, q) + 8 < n)]
+    for k in active.tolist():
+        shared[k] = _agree(x, int(a[k]), int(b[k]), int(shared[k]))
+    shared = np.where(b >= 0, np.minimum(shared, n - np.maximum(a, b)), 0)
+    by_place = np.repeat(shared + own, np.diff(np.append(own, n))) - np.arange(n)
+    return by_place[order]
+
+
+def repeats(x: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Of the valid starts, those of strings that start earlier in x as well."""
+    word = words_at(x)
+    order = suffix_array(x, word)
+    near = common_prefixes(x, order, word) >= length
+    met = np.nonzero(near | np.append(near[1:], False)[: len(near)])[0]
+    start, group = order[met], np.cumsum(~near[met])
+    usable = valid[start]
+    key = np.sort((group[usable] << 32) | start[usable])
+    later = np.zeros(len(x), bool)
+    again = np.concatenate([[False], (key[1:] >> 32) == (key[:-1] >> 32)])[: len(key)]
+    later[key[again] & 0xFFFFFFFF] = True
+    return later
 
 
 def _final(h: np.ndarray) -> np.ndarray:
@@ -46,9 +145,9 @@ def _final(h: np.ndarray) -> np.ndarray:
 
 def gram_hashes(x: np.ndarray, size: int = GRAM) -> np.ndarray:
     """64-bit hashes of all strings of `size` (a power of two) bytes."""
-    h = _final(x.astype(np.uint64) + _M[5])
-    step, k = 1, 0
     with np.errstate(over="ignore"):
+        h = _final(x.astype(np.uint64) + _M[5])
+        step, k = 1, 0
         while step < size:
             h = h[:-step] * _M[k % 3] + (h[step:] ^ (h[step:] >> np.uint64(29)))
             step, k = 2 * step, k + 1
@@ -64,111 +163,85 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
-def segments(x: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Of one text of at least `length` bytes: anchor hash, content hash, first start, number of strings, anchor's place from the first start."""
-    with np.errstate(over="ignore"):
-        h = gram_hashes(x, gram)
-        place = np.arange(len(h), dtype=np.uint64)
-        low = _least((h & ~np.uint64((1 << 28) - 1)) | (place & np.uint64((1 << 28) - 1)), length - gram + 1)
-        anchor = (low & np.uint64((1 << 28) - 1)).astype(np.int64)
-        first = np.concatenate([[0], np.nonzero(np.diff(anchor))[0] + 1])
-        count = np.diff(np.concatenate([first, [len(anchor)]]))
-        at = anchor[first]
-        # a segment's content, by prefix sums of bytes times powers of an odd number, brought to the segment's start by its inverse
-        end = first + count + length - 1
-        power, inverse = _powers(len(x) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_final(x.astype(np.uint64) + _M[6]) * power[: len(x)], dtype=np.uint64)])
-        content = _final((sums[end] - sums[first]) * inverse[first] + (count * 256 + (at - first)).astype(np.uint64) * _M[5])
-    return h[at].view(np.int64), content.view(np.int64), first, count, at - first
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int):
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 16)
-        odd = int(_M[0]) | 1
-        back = pow(odd, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            made = []
-            for base in (odd, back):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                made.append(np.multiply.accumulate(p))
-        _POWERS[:] = made
-    return _POWERS
-
-
-def _ranked(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
-
-
-def suffix_ranks(x: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """Larsson-Sadakane ranks of all suffixes by their first 8, 16, .. depth bytes; beyond the end counts as least. Only suffixes that are still tied are sorted again."""
-    n = len(x)
-    padded = np.concatenate([x.astype(np.uint64) + np.uint64(0), np.zeros(8, np.uint64)])
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    ranks, h = {8: rank}, 8
-    while h < depth:
-        size = np.bincount(rank, minlength=n)
-        tied = np.nonzero(size[rank] > 1)[0]
-        rank = rank.copy()
-        if len(tied):
-            after = tied + h
-            second = np.where(after < n, ranks[h][np.minimum(after, n - 1)] + 1, 0)
-            sub = np.lexsort((second, ranks[h][tied]))
-            tied, second = tied[sub], second[sub]
-            group = ranks[h][tied]
-            new = np.concatenate([[True], group[1:] != group[:-1]])
-            differs = new | np.concatenate([[True], second[1:] != second[:-1]])
-            begin = np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))
-            lead = np.maximum.accumulate(np.where(differs, np.arange(len(tied)), 0))
-            rank[tied] = group + lead - begin
-        h *= 2
-        ranks[h] = rank
-    return ranks
-
-
-def string_names(x: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Equal numbers for equal strings of `length` bytes at the starts: neighbours in suffix order whose common prefix is that long, told from ranks at the greatest doubled depth that fits, read at both ends."""
-    depth = 8
-    while 2 * depth <= length:
-        depth *= 2
-    rank = suffix_ranks(x, depth)[depth]
-    return _ranked(rank[starts] * np.int64(len(x) + 1) + rank[starts + length - depth])
+def segments(x: np.ndarray, kept: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """Stretches of kept starts with one anchor: anchor's hash, first start, number of strings, anchor's place from the first start. x: at most 2^28 bytes."""
+    if len(x) < length:
+        return (np.zeros(0, np.int64),) * 4
+    h = gram_hashes(x, gram)
+    low = np.uint64((1 << 28) - 1)
+    least = _least((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+    at = np.nonzero(kept[: len(least)])[0]
+    anchor = (least[at] & low).astype(np.int64)
+    new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(anchor) != 0)])[: len(at)]
+    begin = np.nonzero(new)[0]
+    first, anchor = at[begin], anchor[begin]
+    return h[anchor].view(np.int64), first, np.diff(np.append(begin, len(at))), anchor - first
+
 
+def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return edge[::2], edge[1::2] - edge[::2]
 
-def runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """m, seg, doc_id, at: anchor, content, document, and start * 2^14 + strings * 2^7 + anchor's place."""
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """key (a number for each document, in their order), given (the doc_id), text."""
+    rows = keyed(docs).withColumnRenamed("doc_id", "key")
+    of = rows.select("key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    if of.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").isEmpty():
+        return rows
+    # some doc_id has several texts: number what is there in order, without one task that sees all
+    each = settle(of.distinct().repartitionByRange("key", "content").sortWithinPartitions("key", "content").withColumn("at", F.monotonically_increasing_id()))
+    whole = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).join(each, ["key", "content"])
+    return whole.select(F.col("at").alias("key"), "given", "text")
+
+
+def shards(texts: DataFrame, length: int = LENGTH, size: int = SHARD) -> DataFrame:
+    """anchor, key, at, n, shard. With an anchor: a segment of strings the shard has not had before; at is start * 2^14 + strings * 2^7 + anchor's place. Without: n strings from the start `at` on, which the shard had before."""
+    names = ["anchor", "key", "at", "n", "shard"]
 
     def cut(batches):
         import pyarrow as pa
-
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId() << 32, 0
+
+        def done(pieces):
+            pieces.sort(key=lambda p: p[:2])
+            pieces = [p for k, p in enumerate(pieces) if not k or p[:2] != pieces[k - 1][:2]]
+            x = np.concatenate([p[2] for p in pieces])
+            base = np.concatenate([[0], np.cumsum([len(p[2]) for p in pieces])])
+            valid = np.arange(len(x)) + length <= np.repeat(base[1:], np.diff(base))
+            later = repeats(x, valid, length)
+            keys, starts = np.array([p[0] for p in pieces], np.int64), np.array([p[1] for p in pieces], np.int64) - base[:-1]
+            anchor, first, count, place = segments(x, valid & ~later, length)
+            begin, n = _stretches(later)
+            which, where = np.searchsorted(base, first, "right") - 1, np.searchsorted(base, begin, "right") - 1
+            columns = [
+                pa.array(np.concatenate([anchor, np.zeros(len(begin), np.int64)]), mask=np.arange(len(anchor) + len(begin)) >= len(anchor)),
+                pa.array(np.concatenate([keys[which], keys[where]])),
+                pa.array(np.concatenate([((starts[which] + first) << 14) + (count << 7) + place, starts[where] + begin])),
+                pa.array(np.concatenate([np.zeros(len(anchor), np.int64), n])),
+                pa.array(np.full(len(anchor) + len(begin), task + made, np.int64)),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        pieces, held = [], 0
         for batch in batches:
             offsets, data = byte_views(batch.column("text"))
             x = np.frombuffer(data, np.uint8) if len(data) else np.zeros(0, np.uint8)
-            ids = batch.column("doc_id").to_pylist()
-            held, size = [], 0
-            for i in range(len(ids)):
-                if offsets[i + 1] - offsets[i] >= length:
-                    m, seg, first, count, place = segments(x[offsets[i] : offsets[i + 1]], length)
-                    held.append((m, seg, np.full(len(m), ids[i], np.int64), (first << 14) + (count << 7) + place))
-                    size += len(m)
-                if held and (size > 200_000 or i + 1 == len(ids)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in range(4)], names=["m", "seg", "doc_id", "at"])
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in range(4)], names=["m", "seg", "doc_id", "at"])
-
-    return keyed(docs).where("text is not null").select("doc_id", "text").mapInArrow(cut, "m long, seg long, doc_id long, at long")
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                for start in range(0, int(offsets[i + 1] - offsets[i]) - length + 1, size - length + 1):
+                    piece = x[offsets[i] + start : min(offsets[i + 1], offsets[i] + start + size)]
+                    if held and held + len(piece) > size:
+                        yield done(pieces)
+                        pieces, held, made = [], 0, made + 1
+                    pieces.append((key, start, piece.copy()))
+                    held += len(piece)
+        if held:
+            yield done(pieces)
+
+    return texts.where("text is not null").select("key", "text").mapInArrow(cut, "anchor long, key long, at long, n long, shard long")
 
 
 def _lists(column, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -178,111 +251,140 @@ def _lists(column, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), [values.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
-def release(spark) -> None:
-    """Let Spark's cleaner drop the shuffles of steps that are over."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, strings: stretches of starts of strings that occurred earlier."""
-    spark = docs.sparkSession
-    found = runs(docs, length)
-    shared = settle(found.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))
-    release(spark)
-    met = settle(found.join(shared, "m"))
-    del shared, found
-    release(spark)
-    classes = settle(met.groupBy("m", "seg").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")))
-    # all but the first of a class occurred earlier as a whole
-    later = met.join(classes.where("n > 1").select("m", "seg", "f"), ["m", "seg"]).where(F.struct("doc_id", "at") != F.col("f")).select("doc_id", "at")
-    later = settle(later.select("doc_id", F.shiftright("at", 14).alias("start"), (F.shiftright("at", 7).bitwiseAND(F.lit(127))).alias("strings")))
-    del met
-    release(spark)
-    several = classes.groupBy("m").agg(F.count("*").alias("k")).where("k > 1").select("m")
-    firsts = classes.join(several, "m").select("m", F.col("f.doc_id").alias("id"), F.col("f.at").alias("at"))
-    asked = settle(firsts.groupBy("id").agg(F.collect_list(F.struct("m", "at")).alias("asked"), F.count("*").alias("n")))
-    del classes, several, firsts
-    release(spark)
-    shards = max(1, (asked.agg(F.sum("n")).first()[0] or 0) // SHARD_ROWS + 1)
-    texts = keyed(docs).where("text is not null")
-    rows = texts.join(asked, texts.doc_id == asked.id).select("doc_id", "text", "asked")
+class Run:
+    """Distinct strings in order, with where each occurred first."""
+
+    def __init__(self, strings: np.ndarray, key: np.ndarray, start: np.ndarray):
+        self.strings, self.key, self.start = strings, key, start
+
+    def merge(self, other: Run, later: list) -> Run:
+        """Both as one, by binary search of the smaller in the larger; of equal strings the earlier stays, the other goes to `later`."""
+        a, b = (self, other) if len(self.strings) >= len(other.strings) else (other, self)
+        at = np.searchsorted(a.strings, b.strings)
+        met = a.strings[np.minimum(at, len(a.strings) - 1)] == b.strings
+        x, y = at[met], np.nonzero(met)[0]
+        swap = (b.key[y] < a.key[x]) | ((b.key[y] == a.key[x]) & (b.start[y] < a.start[x]))
+        other_place = (b.key[y] != a.key[x]) | (b.start[y] != a.start[x])
+        late_key, late_start = np.where(swap, a.key[x], b.key[y]), np.where(swap, a.start[x], b.start[y])
+        later.append((late_key[other_place], late_start[other_place]))
+        a.key[x[swap]], a.start[x[swap]] = b.key[y[swap]], b.start[y[swap]]
+        new = ~met
+        return Run(np.insert(a.strings, at[new], b.strings[new]), np.insert(a.key, at[new], b.key[new]), np.insert(a.start, at[new], b.start[new]))
+
+
+def merged(rows: list[tuple], length: int = LENGTH, gram: int = GRAM) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """key, start, strings of segments' strings that occur earlier in another shard's. rows: (anchor, key, start, place, shard, content), whole anchors."""
+    # segments that are equal as a whole are merged at once
+    whole: dict[tuple, tuple] = {}
+    out = []
+    for r in rows:
+        name = (r[3], r[5])
+        first = whole.get(name)
+        if first is None:
+            whole[name] = r
+        elif first[1:3] != r[1:3]:
+            if r[1:3] < first[1:3]:
+                whole[name], r = r, first
+            out.append((r[1], r[2], len(r[5]) - length + 1))
+    # a string that two segments share agrees with half of what it has beside the anchor, on one side at least
+    half = (length - gram) // 2
+    rows = list(whole.values())
+    sides = [((r[0], r[5][r[3] - half : r[3]]) if r[3] >= half else None, (r[0], 0, r[5][r[3] + gram : r[3] + gram + half]) if len(r[5]) >= r[3] + gram + half else None) for r in rows]
+    times = Counter(s for both in sides for s in both if s is not None)
+    rows = [r for r, both in zip(rows, sides, strict=True) if any(s is not None and times[s] > 1 for s in both)]
+    found = [tuple(np.array([o[k] for o in out], np.int64) for k in range(3))] if out else []
+    if len(rows) > 1:
+        rows.sort(key=lambda r: r[4])
+        text = b"".join(r[5] for r in rows)
+        sizes = np.array([len(r[5]) for r in rows], np.int64)
+        base, count = np.cumsum(sizes) - sizes, sizes - length + 1
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        strings = np.ndarray((len(text) - length + 1,), f"S{length}", text, 0, (1,))[np.repeat(base, count) + inner]
+        key = np.repeat(np.array([r[1] for r in rows], np.int64), count)
+        start = np.repeat(np.array([r[2] for r in rows], np.int64), count) + inner
+        shard = np.repeat(np.array([r[4] for r in rows], np.int64), count)
+        cuts = [0, *(np.nonzero(np.diff(shard))[0] + 1).tolist(), len(shard)]
+        later: list = []
+        runs = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            way = lo + np.argsort(strings[lo:hi], kind="stable")
+            runs.append(Run(strings[way], key[way], start[way]))
+        while len(runs) > 1:
+            runs = [runs[k].merge(runs[k + 1], later) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+        found += [(k, s, np.ones(len(k), np.int64)) for k, s in later]
+    return found
+
+
+def repeated(texts: DataFrame, length: int = LENGTH, size: int = SHARD, hot: int = HOT) -> tuple[DataFrame, list[DataFrame]]:
+    """key, start, strings: stretches of starts of strings that occurred earlier; and the tables to drop once they are read. texts: as in_order."""
+    found = settle(shards(texts, length, size))
+    own = found.where("anchor is null").select("key", F.col("at").alias("start"), F.col("n").alias("strings"))
+    some = found.where("anchor is not null").select("anchor", "key", "at", "shard")
+    shared = settle(some.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > hot).alias("hot")))
+    asked = settle(some.join(shared, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "shard", "hot")).alias("asked")).withColumnRenamed("key", "of"))
+    split = not shared.where("hot").isEmpty()
+    rows = texts.where("text is not null").join(asked, texts["key"] == asked["of"]).select("key", "text", "asked")
 
     def fetch(batches):
         import pyarrow as pa
 
+        names = ["anchor", "key", "start", "place", "shard", "content"]
         for batch in batches:
             offsets, data = byte_views(batch.column("text"))
-            ids, (lists, (ms, ats)) = batch.column("doc_id").to_numpy(), _lists(batch.column("asked"), ("m", "at"))
-            which = np.repeat(np.arange(len(ids)), np.diff(lists))
-            start = ats >> 14
-            begin = offsets[which] + start
-            end = begin + (ats >> 7 & 127) + length - 1
-            contents = [bytes(data[x:y]) for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-            columns = [pa.array(x, pa.int64()) for x in (ms % shards, ms, ids[which], start, ats & 127)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(contents, pa.binary())], names=["shard", "m", "doc_id", "start", "place", "content"])
-
-    pieces = rows.mapInArrow(fetch, "shard long, m long, doc_id long, start long, place long, content binary")
-    pieces = pieces.repartition("shard").sortWithinPartitions("shard", "doc_id", "start")
+            keys, (lists, (anchor, at, shard, common)) = batch.column("key").to_numpy(), _lists(batch.column("asked"), ("anchor", "at", "shard", "hot"))
+            for lo in range(0, len(at), 100_000):  # a row may ask for very many
+                part = slice(lo, min(len(at), lo + 100_000))
+                which = np.searchsorted(lists, np.arange(part.start, part.stop), "right") - 1
+                start, count, place, apart = at[part] >> 14, at[part] >> 7 & 127, at[part] & 127, common[part].astype(bool)
+                times = np.where(apart, count, 1)
+                row = np.repeat(np.arange(len(start)), times)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                begin = start[row] + nth
+                from_ = offsets[which[row]] + begin
+                upto = from_ + np.where(apart[row], length, count[row] + length - 1)
+                contents = [bytes(data[x:y]) for x, y in zip(from_.tolist(), upto.tolist(), strict=True)]
+                columns = [anchor[part][row], keys[which[row]], begin, np.where(apart[row], -1, place[row]), shard[part][row]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(contents, pa.binary())], names=names)
+
+    pieces = rows.mapInArrow(fetch, "anchor long, key long, start long, place long, shard long, content binary")
+    pieces = settle(pieces) if split else pieces
+    cold = pieces.where("place >= 0").repartition("anchor").sortWithinPartitions("anchor")
 
     def judge(batches):
         import pyarrow as pa
 
-        def done(anchors, docs_, starts, places, contents):
-            # a string that two segments share agrees with half of what it has beside the anchor, on one side at least
-            half = (length - GRAM) // 2
-            sides = []
-            for m, p, c in zip(anchors, places, contents, strict=True):
-                left, right = c[p - half : p] if p >= half else b"", c[p + GRAM : p + GRAM + half]
-                sides.append((hash((m, 0, left)) if left else None, hash((m, 1, right)) if len(right) == half else None))
-            times = Counter(x for both in sides for x in both if x is not None)
-            kept = [k for k, both in enumerate(sides) if any(x is not None and times[x] > 1 for x in both)]
-            docs_, starts, contents = ([x[k] for k in kept] for x in (docs_, starts, contents))
-            sizes = np.array([len(c) for c in contents], np.int64)
-            if not contents:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["doc_id", "start", "strings"])
-            x = np.frombuffer(b"".join(contents), np.uint8)
-            base = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            count = sizes - length + 1
-            which = np.repeat(np.arange(len(sizes)), count)
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            name = string_names(x, base[which] + inner, length)
-            # rows come in the order of (doc_id, start), so the first of a name is the earliest, but for segments that overlap
-            start = np.array(starts, np.int64)[which] + inner
-            ids = np.array(docs_, np.int64)[which]
-            order = np.lexsort((start, ids, name))
-            same = np.concatenate([[False], name[order][1:] == name[order][:-1]])
-            # a repeated row of a document brings the same places again
-            lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-            hit = same & ((ids[order] != ids[lead]) | (start[order] != start[lead]))
-            return pa.RecordBatch.from_arrays([pa.array(ids[order][hit]), pa.array(start[order][hit]), pa.array(np.ones(int(hit.sum()), np.int64))], names=["doc_id", "start", "strings"])
-
-        shard, held = None, ([], [], [], [], [])
+        def done(held):
+            for columns in merged(held, length):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "start", "strings"])
+
+        held: list[tuple] = []
         for batch in batches:
-            for s, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "m", "doc_id", "start", "place", "content")), strict=True):
-                if s != shard:
-                    if held[0]:
-                        yield done(*held)
-                    shard, held = s, ([], [], [], [], [])
-                for to, v in zip(held, row, strict=True):
-                    to.append(v)
-        if held[0]:
-            yield done(*held)
-
-    judged = settle(pieces.mapInArrow(judge, "doc_id long, start long, strings long"))
-    release(spark)
-    return later.unionByName(judged)
-
-
-def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "start", "place", "shard", "content")), strict=True):
+                if len(held) >= AT_ONCE and held[-1][0] != row[0]:
+                    yield from done(held)
+                    held = []
+                held.append(row)
+        yield from done(held)
+
+    across = settle(cold.mapInArrow(judge, "key long, start long, strings long"))
+    if split:
+        alone = pieces.where("place < 0").select("content", "key", "start")
+        first = alone.groupBy("content").agg(F.min(F.struct("key", "start")).alias("first"))
+        more = alone.join(first, "content").where(F.struct("key", "start") != F.col("first")).select("key", "start", F.lit(1).cast("long").alias("strings"))
+        more = settle(more)
+        drop(pieces, shared, asked)
+        return own.unionByName(across).unionByName(more), [found, across, more]
+    drop(shared, asked)
+    return own.unionByName(across), [found, across]
+
+
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, size: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    spans = repeated(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("cut")).withColumnRenamed("doc_id", "id")
-    spans = settle(spans)
-    release(docs.sparkSession)
-    rows = keyed(docs)
-    rows = rows.join(spans, rows.doc_id == spans.id, "left").select(F.col("given").alias("doc_id"), "text", "cut")
+    rows = in_order(docs)
+    stretches, used = repeated(rows, length, size, hot)
+    spans = settle(stretches.groupBy("key").agg(F.collect_list(F.struct("start", "strings")).alias("cut")).withColumnRenamed("key", "of"))
+    drop(*used)
+    rows = rows.join(spans, rows["key"] == spans["of"], "left").select(F.col("given").alias("doc_id"), "text", "cut")
 
     def remove(batches):
         import pyarrow as pa
@@ -297,12 +399,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if not len(start):
                     out.append((len(text), 0, 0, hashlib.sha256(text).hexdigest()))
                     continue
-                edge = np.zeros(len(text) + 1, np.int32)
+                edge = np.zeros(len(text) + 1, np.int64)
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + n + length - 1, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(text), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
+                out.append((len(text), int(gone.sum()), len(_stretches(gone)[0]), hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return rows.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
