@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import byte_views, drop, keyed, settle
 
 LENGTH, GRAM = 100, 32
-#: Bytes of a shard, about.
-SHARD = 4 << 20
+#: Bytes of a shard at most; places and ranks within one then fit a word together.
+SHARD = 2 << 20
 #: Segments of one anchor beyond which its strings are dealt one by one; segments merged at a time, about.
 HOT, AT_ONCE = 4096, 16_000
 
@@ -54,32 +54,48 @@ def words_at(x: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(padded, (len(x) + 1, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64)
 
 
-def suffix_array(x: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
+def _way(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, and the keys in it. Places are packed beside keys where both fit a word: plain sorts are far faster than those of places."""
+    beside = len(key).bit_length()
+    if bits + beside <= 64:
+        both = np.sort((key << np.uint64(beside)) | np.arange(len(key), dtype=np.uint64))
+        return (both & np.uint64((1 << beside) - 1)).astype(np.int64), both >> np.uint64(beside)
+    way = np.argsort(key)
+    return way, key[way]
+
+
+def suffix_array(x: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in order; beyond the end counts as least."""
     n = len(x)
-    word = (words_at(x) if word is None else word)[:n]
-    order = np.argsort(word).astype(np.int64)
-    s = word[order]
-    head = np.concatenate([[True], s[1:] != s[:-1]])[:n]
-    begin = np.nonzero(head)[0]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(begin, np.diff(np.append(begin, n)))
-    tied = np.nonzero(~head | np.append(~head[1:], False))[0] if n else begin
-    depth = 8
-    while len(tied):
-        suffix = order[tied]
-        after = suffix + depth
-        follows = np.where(after < n, rank[np.minimum(after, n - 1)] + depth + 1, n - suffix)
-        key = (rank[suffix] << 32) | follows
-        way = np.argsort(key)
-        key, suffix = key[way], suffix[way]
-        order[tied] = suffix
+    if not n:
+        return np.zeros(0, np.int64)
+    # first by as many bytes as fit: letters are numbered from 1, 0 is beyond the end
+    letters = np.bincount(x, minlength=256) > 0
+    code = np.cumsum(letters).astype(np.uint64)[x]
+    bits = int(letters.sum()).bit_length()
+    depth = max(1, (64 - n.bit_length()) // bits)
+    padded, key = np.concatenate([code, np.zeros(depth, np.uint64)]), np.zeros(n, np.uint64)
+    for k in range(depth):
+        key = (key << np.uint64(bits)) | padded[k : k + n]
+    order, key = _way(key, bits * depth)
+    rank, tied = np.empty(n, np.int64), np.arange(n)
+    suffix = order
+    while True:
         head = np.concatenate([[True], key[1:] != key[:-1]])
         begin = np.nonzero(head)[0]
         rank[suffix] = np.repeat(tied[begin], np.diff(np.append(begin, len(tied))))
-        tied = tied[~head | np.append(~head[1:], False)]
+        again = ~head | np.append(~head[1:], False)
+        tied = tied[again]
+        if not len(tied):
+            return order
+        suffix, group = order[tied], np.cumsum(head[again]) - 1
+        after = suffix + depth
+        follows = np.where(after < n, rank[np.minimum(after, n - 1)] + depth + 1, n - suffix)
+        wide = (n + depth + 1).bit_length()
+        way, key = _way((group.astype(np.uint64) << np.uint64(wide)) | follows.astype(np.uint64), int(group[-1]).bit_length() + wide)
+        suffix = suffix[way]
+        order[tied] = suffix
         depth *= 2
-    return order
 
 
 def _agree(x: np.ndarray, a: int, b: int, done: int) -> int:
@@ -125,7 +141,7 @@ def common_prefixes(x: np.ndarray, order: np.ndarray, word: np.ndarray | None =
 def repeats(x: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Of the valid starts, those of strings that start earlier in x as well."""
     word = words_at(x)
-    order = suffix_array(x, word)
+    order = suffix_array(x)
     near = common_prefixes(x, order, word) >= length
     met = np.nonzero(near | np.append(near[1:], False)[: len(near)])[0]
     start, group = order[met], np.cumsum(~near[met])

@@ -37,17 +37,6 @@ def test_suffix_dedup(docs):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
 
 
-def test_suffix_ranks_sort_suffixes():
-    from cairn.llm import substrings
-
-    rng = random.Random(4)
-    x = bytes(rng.choice(b"ab") for _ in range(500))
-    ranks = substrings.suffix_ranks(np.frombuffer(x, np.uint8), 64)
-    for depth in (8, 16, 64):
-        order = sorted(range(500), key=lambda i: x[i : i + depth])
-        assert [x[i : i + depth] for i in np.argsort(ranks[depth], kind="stable")] == [x[i : i + depth] for i in order]
-
-
 def test_vectors(spark):
     from cairn.llm import vectors
 
