@@ -52,7 +52,8 @@ def page_of(k: int, marked: bool, adverts: bool) -> tuple[str, list[str]]:
         lines.insert(5, ADVERTS)
     box = "article" if marked else "div"
     side = "".join(f"<div><a href={i}>link number {i}</a></div>" for i in range(12))
-    return f"<body><div>Some notice.</div><div>{side}</div><{box}>{''.join(lines)}</{box}><div>{side}</div><div>Terms and imprint</div></body>", texts
+    plain = "".join(f"<div><span>entry {i}</span></div>" for i in range(60))
+    return f"<body><div>Some notice.</div><div>{side}</div><{box}>{''.join(lines)}</{box}><div>{side}</div><div>{plain}</div><div>Terms and imprint</div></body>", texts
 
 
 @pytest.mark.parametrize("marked", [True, False])
