@@ -18,6 +18,16 @@ def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 
+def quoted(column: str) -> str:
+    """A column's name as Spark reads it, whatever it holds (dots, blanks, quotes)."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def row(docs: DataFrame) -> Column:
+    """All columns as one struct; other columns may clash with nothing in there."""
+    return F.struct(*(docs[quoted(c)].alias(c) for c in docs.columns))
+
+
 def identity(docs: DataFrame) -> Column:
     """doc_id, and for a row without one a key made of its text, from 2^62 on: rows without an id are one document only if their texts are equal."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))

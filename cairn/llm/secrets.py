@@ -12,7 +12,13 @@ random: its chi-squared against uniform use, and its serial correlation, are
 within what chance gives. Short tokens of few kinds of characters differ too
 little from text to be told: of 24 random lower-case letters none is found.
 
-Nulls: a null text is an empty one. Without findings: counts of 0, the SHA-256 of
+The rate of false discoveries is held within each document, as a document is what a
+reader of findings sees; over a corpus of many documents each with few tokens, the
+expected share of false findings is that rate as well, their number grows with the corpus.
+
+Time grows with a text's length and its matches, not with their square.
+
+Nulls: a null text is an empty one. Empty table: no rows. Ties: findings of equal p share a rank's fate. Without findings: counts of 0, the SHA-256 of
 nothing, no spans. Repeated rows: each is scanned. Places count code points, ends
 are exclusive. Spans of different kinds may overlap, as their patterns do.
 """
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, row
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -57,17 +63,38 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, end>> of the pattern's matches whose group is long enough."""
+#: Elements that a running value is carried over at a time. An array grown by one element is copied, so what grows is kept short.
+AT_ONCE = 256
+
+
+def bound(value: str, name: str, body: str) -> str:
+    """body with `name` standing for the value, which is found once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(array: str, element: str, kind: str, start: str, join: str) -> str:
+    """Of each element of the array what `join` makes of all elements before it, from `start` on: by parts of AT_ONCE elements, then over the parts, so that time doesn't grow with the square of the array.
+
+    element: of x, its value; kind: its type; join: of p and q.
+    """
+    join_of = lambda p, q: join.replace("{p}", p).replace("{q}", q)
+    carry = lambda over, name, value: (
+        f"aggregate({over}, struct(cast({start} as {kind}) AS t, cast(array() as array<{kind}>) AS o), (c, {name}) -> struct({join_of('c.t', value)} AS t, concat(c.o, array(c.t)) AS o))"
+    )
+    parts = f"transform(sequence(0, greatest(0, (size(v_) - 1) div {AT_ONCE})), k -> {carry(f'slice(v_, k * {AT_ONCE} + 1, {AT_ONCE})', 'x', element)})"
+    whole = bound(carry("i_", "y", "y.t") + ".o", "b_", f"flatten(transform(i_, (y, k) -> transform(y.o, z -> {join_of('b_[k]', 'z')})))")
+    return bound(array, "v_", bound(parts, "i_", whole))
+
+
+def matches(text: str, pattern: str, group: int, least: int) -> str:
+    """array<struct<start, end, s>> of the pattern's matches whose group is long enough."""
     p = _quoted(pattern)
-    parts = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
-    return F.expr(f"""
-      CASE WHEN {text} RLIKE {p} THEN aggregate(
-        transform({parts}, x -> struct(char_length(x.`0`) AS gap, char_length(x.`1`) AS n, char_length(x.`2`) AS g)),
-        struct(0 AS at, cast(array() AS array<struct<start:int,end:int>>) AS found),
-        (a, x) -> CASE WHEN x.n IS NULL THEN a ELSE struct(a.at + x.gap + x.n AS at,
-          CASE WHEN x.g >= {least} THEN concat(a.found, array(struct(a.at + x.gap AS start, a.at + x.gap + x.n AS end))) ELSE a.found END AS found) END,
-        a -> a.found) ELSE cast(array() AS array<struct<start:int,end:int>>) END""")
+    none = "cast(array() AS array<struct<start:int,end:int,s:string>>)"
+    zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
+    parts = f"transform(filter({zipped}, x -> x.`1` IS NOT NULL), x -> struct(char_length(x.`0`) AS gap, char_length(x.`1`) AS n, char_length(x.`2`) AS g, x.`1` AS s))"
+    places = running("m", "x.gap + x.n", "int", "0", "{p} + {q}")
+    kept = f"transform(filter(zip_with(m, {places}, (x, at) -> struct(x.g AS g, at + x.gap AS start, at + x.gap + x.n AS end, x.s AS s)), x -> x.g >= {least}), x -> struct(x.start AS start, x.end AS end, x.s AS s))"
+    return f"CASE WHEN {text} RLIKE {p} THEN {bound(parts, 'm', kept)} ELSE {none} END"
 
 
 def _tail(z: str) -> str:
@@ -109,19 +136,22 @@ def _battery(tokens: str) -> Column:
 
 def findings(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The carried columns, assign, access, hex and random: arrays of places. The column text must not be null."""
-    out = docs.select(*carried, text, *(matches(text, p, g, n).alias(kind) for kind, p, g, n in KINDS), matches(text, TOKEN, 0, 20).alias("_tokens"))
-    out = out.withColumn("_tokens", F.expr(f"transform(_tokens, x -> struct(substring({text}, x.start + 1, x.end - x.start) AS s, x.start AS start, x.end AS end))"))
+    out = docs.select(*carried, text, *(F.expr(matches(text, p, g, n)).alias(kind) for kind, p, g, n in KINDS), F.expr(matches(text, TOKEN, 0, 20)).alias("_tokens"))
     out = out.withColumn("_tested", F.when(F.size("_tokens") > 0, _battery("_tokens")))
     # p over weight, in order; the largest rank whose p is below its share of the allowed rate
     weighted = F.expr("""CASE WHEN _tested IS NOT NULL THEN sort_array(transform(array(aggregate(_tested, 0D, (a, x) -> a + x.n) / size(_tested)), m ->
         transform(_tested, x -> struct(x.p * m / x.n AS p, x.start AS start, x.end AS end, x.random AS random)))[0]) END""")
     out = out.withColumn("_ranked", weighted)
     out = out.withColumn("_rank", F.expr(f"coalesce(array_max(transform(_ranked, (x, k) -> CASE WHEN x.p <= {FALSE_DISCOVERIES}D * (k + 1) / size(_ranked) THEN k + 1 ELSE 0 END)), 0)"))
-    base = "concat(assign, access, hex)"
-    out = out.withColumn("_base", F.expr(base))
-    new = F.expr("""transform(filter(slice(coalesce(_ranked, cast(array() AS array<struct<p:double,start:int,end:int,random:boolean>>)), 1, _rank),
-        x -> x.random AND NOT exists(_base, b -> b.start <= x.start AND x.end <= b.end)), x -> struct(x.start AS start, x.end AS end))""")
-    return out.select(*carried, text, *(k for k, *_ in KINDS), new.alias("random"))
+    # a token within a base span is no finding of its own. Within a hex or access span it is all of it, as these hold characters of tokens only; within
+    # an assignment it is a token of the assignment's text. So sets of places tell, each place as one number
+    new = F.expr("""transform(filter(slice(coalesce(_ranked, cast(array() AS array<struct<p:double,start:int,end:int,random:boolean>>)), 1, _rank), x -> x.random), x -> shiftleft(cast(x.start AS bigint), 31) + x.end)""")
+    out = out.withColumn("_new", new)
+    own = F.expr(f"flatten(transform(assign, a -> transform({matches('a.s', TOKEN, 0, 20)}, x -> shiftleft(cast(x.start + a.start AS bigint), 31) + x.end + a.start)))")
+    base = [own, *(F.transform(k, lambda x: F.shiftleft(x["start"].cast("bigint"), 31) + x["end"]) for k in ("access", "hex"))]
+    left = F.when(F.size("_new") > 0, F.array_except("_new", F.concat(*base))).otherwise(F.col("_new"))
+    place = lambda x: F.struct(F.shiftright(x, 31).cast("int").alias("start"), x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("end"))
+    return out.select(*carried, text, *(F.transform(k, lambda x: F.struct(x["start"], x["end"])).alias(k) for k, *_ in KINDS), F.transform(left, place).alias("random"))
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -137,19 +167,35 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed((*base, "random")).alias("spans"))
 
 
+#: Characters of a block of text that places are looked up in.
+BLOCK = 1024
+
+
+def _without(spans: str, text: str, mark: str) -> str:
+    """The text with the spans (sorted; they may overlap) replaced by the mark. A place is found in its block, so that time doesn't grow with the number of spans times the text."""
+    ends = running("s_", "x.end", "int", "0", "greatest({p}, {q})")
+    # of each span that doesn't begin within those before: what stands between them and it
+    gaps = f"filter(zip_with(s_, {ends}, (x, e) -> struct(e AS a, x.start AS b)), x -> x.b >= x.a)"
+    piece = lambda a, b: (
+        f"CASE WHEN {a} div {BLOCK} = {b} div {BLOCK} THEN substring(k_[{a} div {BLOCK}], {a} % {BLOCK} + 1, {b} - {a}) "
+        f"ELSE concat(substring(k_[{a} div {BLOCK}], {a} % {BLOCK} + 1), array_join(slice(k_, {a} div {BLOCK} + 2, {b} div {BLOCK} - {a} div {BLOCK} - 1), ''), substring(k_[{b} div {BLOCK}], 1, {b} % {BLOCK})) END"
+    )
+    last = bound("array_max(transform(s_, x -> x.end))", "w_", piece("w_", "n_"))
+    cut = f"concat(array_join(transform({gaps}, x -> concat({piece('x.a', 'x.b')}, '{mark}')), ''), {last})"
+    # one block more than the text fills, for a place at its end
+    blocks = f"concat(regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0), array(''))"
+    return bound(spans, "s_", bound(blocks, "k_", bound(f"char_length({text})", "n_", cut)))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every finding replaced by the mark; n_chars, if there, follows the text. Other columns stay; a null text stays null."""
     own = docs.columns
-    whole = docs.select(F.struct(*(docs[c] for c in own)).alias("_document"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
+    whole = docs.select(row(docs).alias("_document"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("_text"))
     found = findings(whole, ("_document",), "_text")
     spans = F.sort_array(F.concat("assign", "access", "hex", "random"))
     found = found.select("_document", "_text", spans.alias("_spans"))
-    cut = F.expr(f"""CASE WHEN size(_spans) = 0 THEN _document.text ELSE aggregate(_spans, struct(0 AS at, cast(array() AS array<string>) AS parts),
-        (a, x) -> CASE WHEN x.end <= a.at THEN a WHEN x.start < a.at THEN struct(x.end AS at, a.parts AS parts)
-          ELSE struct(x.end AS at, concat(a.parts, array(substring(_text, a.at + 1, x.start - a.at), '{mark}')) AS parts) END,
-        a -> concat(array_join(a.parts, ''), substring(_text, a.at + 1))) END""")
-    found = found.withColumn("_text", cut)
-    columns = {c: F.col("_document")[c] for c in own} | {"text": F.col("_text")}
+    found = found.withColumn("_text", F.expr(f"CASE WHEN size(_spans) = 0 THEN _document.text ELSE {_without('_spans', '_text', mark)} END"))
+    columns = {c: F.col("_document").getField(c) for c in own} | {"text": F.col("_text")}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.size("_spans") > 0, F.char_length("_text").cast("long")).otherwise(F.col("_document")["n_chars"])
+        columns["n_chars"] = F.when(F.size("_spans") > 0, F.char_length("_text").cast("long")).otherwise(columns["n_chars"])
     return found.select(*(x.alias(c) for c, x in columns.items()))
