@@ -34,9 +34,16 @@ def identity(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """As id_and_text, but doc_id is the identity; given is the doc_id the row came with."""
-    return docs.select(identity(docs).alias("doc_id"), docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("given"))
+def in_order(docs: DataFrame) -> DataFrame:
+    """key, given, text, _document: a number for each document, the doc_id it came with, and the whole row. Numbers follow the identity; rows of one doc_id with other texts are documents of their own, in the order of a hash of the text."""
+    rows = docs.select(identity(docs).alias("key"), docs["doc_id"].cast("long").alias("given"), docs["text"].cast("string").alias("text"), row(docs).alias("_document"))
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    of = rows.select("key", content.alias("content"))
+    if of.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").isEmpty():
+        return rows
+    # some doc_id has several texts: number what there is in its order, without one task that sees all
+    each = settle(of.distinct().repartitionByRange("key", "content").sortWithinPartitions("key", "content").withColumn("at", F.monotonically_increasing_id()))
+    return rows.withColumn("content", content).join(each, ["key", "content"]).select(F.col("at").alias("key"), "given", "text", "_document")
 
 
 def n_words(text: Column) -> Column:

@@ -3,18 +3,21 @@
 Two fixed permutations of the 32-bit integers make every signature coordinate:
 the first scatters a shingle, the second is applied after a circular shift by
 the coordinate's number. Texts of equal sets are one class. Classes that share a
-band get their whole sets compared; a group of candidates too large for one task
-is cut into tiles, and every pair of tiles is compared. Within a task, pairs that
-confirmed links join already are not compared again, so that a thousand copies
-cost about a thousand comparisons and links, not a million.
-
-Sets are compared as 64-bit hashes of their shingles. With 16 bands of 4
+band value are a bucket. First each is compared with the bucket's first class only, so that a
+thousand copies cost about a thousand comparisons. A bucket whose classes these
+links don't all join has its other pairs compared too, but for pairs that are joined already: the
+classes joined with the first against the rest, and the rest among themselves, in
+tiles of a bounded size, a task each. Buckets are never merged, so
+that a chain of chance candidates makes no large group, and a task's work is bounded
+whatever a bucket holds.
+
+Sets are compared whole, as 64-bit hashes of their shingles, made of the texts once. With 16 bands of 4
 coordinates a pair at the threshold of 0.85 is missed with a chance under 1e-5.
 
 Nulls: a null text has no words. Without words: empty set, linked with nothing.
 Fewer words than a shingle has: the whole sequence is the one shingle. Ties:
 the smallest doc_id names a component. Repeated rows of one doc_id are returned
-once each. Other columns of the input are left out. Null doc_ids: such rows are
+once each. Empty table: no rows. Very long texts count whole. Other columns of the input are left out. Null doc_ids: such rows are
 documents of their own, one for each text. They are compared like all others,
 but name no component that has a doc_id, and are not kept there; of a component
 without any doc_id (a null component_id) those of one text are kept.
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 
 from cairn.operators.components import connected_components
 
-from .common import byte_views, identity, keyed, settle
+from .common import byte_views, drop, in_order, settle
 
 SHINGLE, BANDS, ROWS = 3, 16, 4
-#: Bytes of sets, and sets, that one task compares with each other at most.
-TILE_BYTES, TILE_SETS = 12 << 20, 2048
+#: Bytes of sets, and sets, of a tile at most, about.
+TILE_BYTES, TILE_SETS = 8 << 20, 512
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -103,7 +106,7 @@ def signature(shingles: np.ndarray, shifts: np.ndarray = _SHIFTS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, given, n_shingles, set_a, set_b (128 bits that name the set), bands (a 64-bit key each). docs: as keyed."""
+    """key, given, n_shingles, set_a, set_b (128 bits that name the set), bands (a 64-bit number each). docs: as in_order."""
 
     def sign(batches):
         import pyarrow as pa
@@ -124,9 +127,9 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
                             h = _mixed(h * _MIX[0] + part[:, r])
                     keys[i] = h.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("given"), pa.array(count), pa.array(names[:, 0]), pa.array(names[:, 1]), lists], names=["doc_id", "given", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("given"), pa.array(count), pa.array(names[:, 0]), pa.array(names[:, 1]), lists], names=["key", "given", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(sign, "doc_id long, given long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select("key", "given", "text").mapInArrow(sign, "key long, given long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 class _Joined:
@@ -146,9 +149,12 @@ class _Joined:
         return i != j
 
 
-def links_among(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets: positions of pairs whose Jaccard is confirmed."""
+def links_among(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Of the links among the sets (positions of pairs whose Jaccard is confirmed) enough to join what all of them join. Sets of one number in `known` are joined already."""
     n, joined, found = len(sets), _Joined(len(sets)), []
+    first: dict[int, int] = {}
+    for i, k in enumerate(known or []):
+        joined.join(first.setdefault(k, i), i)
     sizes = np.array([len(s) for s in sets], np.int64)
     near = lambda both, a, b: 100 * both >= percent * (a + b - both)
     if n <= 40:
@@ -194,82 +200,130 @@ def links_among(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return found
 
 
-def verified(members: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """a, b: confirmed links that join what the links of each task's sets join. members: rep, set_a, set_b, key (of the task)."""
-    texts = keyed(docs)
-    rows = members.join(texts, members.rep == texts.doc_id).select("key", "rep", "set_a", "set_b", "text")
-    rows = rows.repartition("key").sortWithinPartitions("key", "rep")
+def shingle_sets(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """rep, hashes: the whole sets of the classes. classes: rep, set_a, set_b. docs: as in_order."""
+    rows = classes.join(docs, classes.rep == docs.key).select("rep", "set_a", "set_b", "text")
 
-    def compare(batches):
+    def make(batches):
         import pyarrow as pa
 
-        def done(key, reps, sets):
-            pairs = [(reps[i], reps[j]) for i, j in links_among(sets, percent)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        key, reps, sets = None, [], []
         for batch in batches:
             offsets, data = byte_views(batch.column("text"))
-            keys, ids, a, b = (batch.column(c).to_pylist() for c in ("key", "rep", "set_a", "set_b"))
-            for i in range(len(keys)):
-                if keys[i] != key:
-                    if len(sets) > 1:
-                        yield done(key, reps, sets)
-                    key, reps, sets = keys[i], [], []
-                if reps and reps[-1] == ids[i]:
-                    continue  # a repeated row
+            reps, a, b = (batch.column(c).to_pylist() for c in ("rep", "set_a", "set_b"))
+            kept, sets = [], []
+            for i in range(len(reps)):
                 s = shingle_set(bytes(data[offsets[i] : offsets[i + 1]]), size)
+                # a doc_id may have several texts: the class's is meant
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == np.array([a[i], b[i]], np.int64).tobytes():
-                    reps.append(ids[i])
-                    sets.append(s)
-        if len(sets) > 1:
-            yield done(key, reps, sets)
+                    kept.append(reps[i])
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["rep", "hashes"])
+
+    return rows.mapInArrow(make, "rep long, hashes binary").dropDuplicates(["rep"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs whose Jaccard over whole sets reaches the threshold. pairs: a, b."""
+    one, other = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("rep").alias("b"), F.col("hashes").alias("y"))
+    rows = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def linked_in_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links within the tasks that join all that is near there. members: key (of the task), rep, known."""
+    rows = members.join(sets, "rep").select("key", "rep", "known", "hashes").repartition("key").sortWithinPartitions("key", "rep")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def done(reps, known, held):
+            pairs = [(reps[i], reps[j]) for i, j in links_among(held, percent, known)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        key, reps, known, held = None, [], [], []
+        for batch in batches:
+            for k, rep, c, h in zip(*(batch.column(x).to_pylist() for x in ("key", "rep", "known", "hashes")), strict=True):
+                if k != key:
+                    if len(held) > 1:
+                        yield done(reps, known, held)
+                    key, reps, known, held = k, [], [], []
+                reps.append(rep)
+                known.append(c)
+                held.append(np.frombuffer(h, np.uint64))
+        if len(held) > 1:
+            yield done(reps, known, held)
+
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def tiled(banded: DataFrame, shared: DataFrame, joined: DataFrame, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> DataFrame:
+    """key, rep, known: tasks that compare what the links with buckets' first classes left open. banded: rep, n, band, value; shared: band, value, head, n; joined: node, component."""
+    groups = joined.withColumnRenamed("node", "rep")
+    wide = shared.where("members > 2").join(groups.select(F.col("rep").alias("head"), F.col("component").alias("_home")), "head", "left").select("band", "value", F.coalesce("_home", "head").alias("home"))
+    members = banded.join(wide, ["band", "value"]).join(groups, "rep", "left").select("band", "value", "home", "rep", "n", F.coalesce("component", "rep").alias("known"))
+    own = F.col("known") == F.col("home")
+    number = lambda side: F.ceil(F.greatest(F.sum(F.when(side, F.col("n") * 8)) / tile_bytes, F.count_if(side) / tile_sets, F.lit(1.0))).cast("int")
+    parts = members.groupBy("band", "value").agg(F.count_if(~own).alias("others"), number(own).alias("p"), number(~own).alias("q"), F.count("*").alias("k"), F.sum(F.shiftright(F.xxhash64("rep"), 20)).alias("s"), F.sum(F.shiftright(F.hash("rep"), 2).cast("long")).alias("h"))
+    # bands often give the same bucket: one of those that hold the same is enough
+    one = parts.where("others > 0").groupBy("k", "s", "h").agg(F.min_by(F.struct("band", "value", "p", "q"), F.struct("band", "value")).alias("b")).select("b.*")
+    open_ = members.join(one, ["band", "value"])
+    t = F.when(own, F.pmod(F.xxhash64("rep"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("rep"), F.col("q"))).cast("int")
+    # those joined with the first meet the rest; the rest meet all
+    met = open_.withColumn("t", t).withColumn("u", F.explode(F.sequence(F.when(F.col("t") < F.col("p"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)))
+    return met.select(F.concat_ws(":", "band", "value", F.least("t", "u"), F.greatest("t", "u")).alias("key"), "rep", "known")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept. percent: the least Jaccard of a link, in hundredths; size: words of a shingle."""
-    return judged(docs, percent, size, bands, rows).select(F.col("given").alias("doc_id"), "n_shingles", "component_id", "kept")
+    out = settle(components_of(in_order(docs), percent, size, bands, rows))
+    # a component is named by the least doc_id there is, whatever its rows without one are
+    names = out.groupBy("component").agg(F.min("given").alias("component_id"))
+    kept = F.when(F.col("component_id").isNull(), F.col("key") == F.col("component")).otherwise(F.coalesce(F.col("given") == F.col("component_id"), F.lit(False)))
+    return out.join(names, "component").select(F.col("given").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
-def judged(docs: DataFrame, percent: int, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id (the identity), given, n_shingles, component_id, kept."""
-    signed = settle(signatures(keyed(docs), size, bands, rows))
+def components_of(docs: DataFrame, percent: int, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """key, given, n_shingles, component (its least key). docs: as in_order."""
+    signed = settle(signatures(docs, size, bands, rows))
     some = signed.where("n_shingles > 0")
-    classes = settle(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "value"))
-    shared = settle(banded.groupBy("band", "value").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "value", "head"))
-    candidates = banded.join(shared, ["band", "value"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    groups = connected_components(candidates)
-    held = settle(classes.join(groups, classes.rep == groups.node).select("rep", "set_a", "set_b", "n", F.col("component").alias("g")))
-    # tiles: as many as a group's bytes or sets need; each pair of tiles is a task
-    tiles = settle(held.groupBy("g").agg(F.ceil(F.greatest(F.sum("n") * 8 / TILE_BYTES, F.count("*") / TILE_SETS)).cast("int").alias("tiles")))
-    tiled = held.join(tiles, "g").withColumn("t", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("tiles") > 2, F.col("tiles") - 1).otherwise(0)))
-    tiled = tiled.withColumn("u", other)
-    pair = F.when(F.col("tiles") <= 2, F.lit("")).otherwise(F.concat_ws(".", F.least("t", "u"), F.greatest("t", "u")))
-    members = tiled.select("rep", "set_a", "set_b", F.concat_ws(":", "g", pair).alias("key"))
-    linked = connected_components(verified(members, docs, percent, size))
-    named = classes.join(linked, classes.rep == linked.node, "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    named = settle(named)
-    out = some.join(named, ["set_a", "set_b"]).select("doc_id", "given", "n_shingles", "component_id")
-    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "given", "n_shingles", F.col("doc_id").alias("component_id")))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    if signed.where("given is null").isEmpty():
-        return out
-    # a component is named by the least doc_id there is, whatever its rows without one are
-    names = settle(out.groupBy("component_id").agg(F.min("given").alias("least")))
-    out = out.join(names, "component_id").withColumn("kept", F.when(F.col("least").isNull(), F.col("kept")).otherwise(F.coalesce(F.col("given") == F.col("least"), F.lit(False))))
-    return out.select("doc_id", "given", "n_shingles", F.col("least").alias("component_id"), "kept")
+    classes = settle(some.groupBy("set_a", "set_b").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "value"))
+    shared = banded.groupBy("band", "value").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("members")).where("members > 1")
+    shared = settle(shared.select("band", "value", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n"), "members"))
+    met = settle(banded.join(shared, ["band", "value"]).select("rep", "n", "band", "value", "head", "head_n"))
+    whole = met.select("rep").distinct().join(classes, "rep").select("rep", "set_a", "set_b")
+    sets = settle(shingle_sets(whole, docs, size))
+    # of very different sizes no two sets are near
+    alike = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
+    pairs = met.where(F.col("rep") != F.col("head")).where(alike).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    with_first = settle(confirmed(pairs, sets, percent))
+    joined = connected_components(with_first)
+    rest = settle(linked_in_tiles(tiled(met.select("rep", "n", "band", "value"), shared, joined), sets, percent))
+    drop(joined, sets, met, shared)
+    linked = connected_components(with_first.unionByName(rest))
+    named = settle(classes.join(linked, classes.rep == linked.node, "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
+    drop(classes, linked, with_first, rest)
+    out = some.join(named, ["set_a", "set_b"]).select("key", "given", "n_shingles", "component")
+    return out.unionByName(signed.where("n_shingles = 0").select("key", "given", "n_shingles", F.col("key").alias("component")))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The documents that stay, with all columns they came with: of each component the smallest doc_id, and one row of it; of a component without doc_ids one row."""
-    stay = judged(docs, percent, size).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    stay = settle(stay)
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_document"), identity(docs).alias("_id"))
-    kept = whole.join(stay, whole["_id"] == stay["doc_id"])
+    """The documents that stay, with all columns they came with: of each component the one of the smallest doc_id (of a component without doc_ids one of the rows), and of repeated rows one."""
+    rows = in_order(docs)
+    stay = settle(components_of(rows, percent, size).where(F.col("key") == F.col("component")).groupBy("key").agg(F.count("*").alias("_rows")).withColumnRenamed("key", "_key"))
+    kept = rows.join(stay, rows["key"] == stay["_key"]).select("key", "_document")
     if not stay.where("_rows > 1").isEmpty():
-        kept = kept.groupBy("_id").agg(F.min_by("_document", F.hash("_document")).alias("_document"))
+        kept = kept.groupBy("key").agg(F.min_by("_document", F.hash("_document")).alias("_document"))
     return kept.select("_document.*")

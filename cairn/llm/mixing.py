@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import identity, n_words, settle
+from .common import in_order, n_words, settle
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -140,14 +140,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK)
 
 
 def remix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """Every document as often as the mix takes it, with all columns it came with. Rows of one doc_id share what they are taken, the first of them the odd ones."""
-    named = docs.select(identity(docs).alias("doc_id"), docs["source"], docs["text"])
+    """Every document as often as the mix takes it, with all columns it came with. Repeated rows share what they are taken, the first of them the odd ones."""
+    whole = in_order(docs)
+    named = whole.select(F.col("key").alias("doc_id"), F.col("_document").getField("source").alias("source"), "text")
     chosen = settle(mix(named, weights, most, block).groupBy("doc_id").agg(F.sum("times").alias("_n"), F.count("*").alias("_rows"))).where("_n > 0")
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_document"), identity(docs).alias("_id"))
-    joined = whole.join(chosen, whole["_id"] == chosen["doc_id"])
+    joined = whole.select("key", "_document").join(chosen, whole["key"] == chosen["doc_id"])
     share = F.col("_n")
     if not chosen.where("_rows > 1").isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.hash("_document")))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.hash("_document")))
         joined = joined.withColumn("_nth", nth)
         share = F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
     return joined.withColumn("_share", share.cast("int")).where("_share > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_share")))).select("_document.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, id_and_text
+from .common import WORD, id_and_text, row
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -109,7 +109,7 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that pass, with all columns they came with."""
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_document"), docs["text"].cast("string").alias("text"))
+    whole = docs.select(row(docs).alias("_document"), docs["text"].cast("string").alias("text"))
     # the verdict passes a generator, below which the filter isn't pushed: there it would stand over the text and find the words anew for each use
     verdict = judged(whole, rules, ("_document",)).select("_document", F.explode(F.array("kept")).alias("kept"))
     return verdict.where("kept").select("_document.*")

@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, drop, keyed, settle
+from .common import byte_views, drop, in_order, settle
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a shard at most; places and ranks within one then fit a word together.
@@ -200,18 +200,6 @@ def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """key (a number for each document, in their order), given (the doc_id), text."""
-    rows = keyed(docs).withColumnRenamed("doc_id", "key")
-    of = rows.select("key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
-    if of.groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").isEmpty():
-        return rows
-    # some doc_id has several texts: number what is there in order, without one task that sees all
-    each = settle(of.distinct().repartitionByRange("key", "content").sortWithinPartitions("key", "content").withColumn("at", F.monotonically_increasing_id()))
-    whole = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit("")))).join(each, ["key", "content"])
-    return whole.select(F.col("at").alias("key"), "given", "text")
-
-
 def shards(texts: DataFrame, length: int = LENGTH, size: int = SHARD) -> DataFrame:
     """anchor, key, at, n, shard. With an anchor: a segment of strings the shard has not had before; at is start * 2^14 + strings * 2^7 + anchor's place. Without: n strings from the start `at` on, which the shard had before."""
     names = ["anchor", "key", "at", "n", "shard"]
