@@ -11,7 +11,8 @@ Only text and language of the training rows are learned from, on a sample of at
 most about SAMPLE documents a language, chosen by a hash of doc_id. Predictions
 read whole texts. Nulls: a null text, or one without a letter, is `und`, score 0;
 a null language teaches nothing. Without training rows all is `und`. Repeated
-rows: each is predicted. Other columns are left out.
+rows: each is predicted. Ties: of equal losses the language first in order of code points. Empty table: no
+rows. A very long text is read whole. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Documents of a language, about, that its n-grams are counted on.
 SAMPLE = 3000
+#: Languages that are learned at most: a sum per language and bucket goes to the driver.
+LANGUAGES = 500
 BUCKETS = 1 << 14
 UNKNOWN = "und"
 
@@ -99,26 +102,34 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text, lang of the rows to learn from."""
+def train(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
+    """docs: doc_id, text, lang of the rows to learn from. Of more languages than `most` those with the most rows are learned."""
     known = docs.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()}
     if not sizes:
         return Model({})
     share = docs.sparkSession.createDataFrame([(k, min(1.0, sample / n)) for k, n in sizes.items()], "of string, share double")
-    chosen = known.join(F.broadcast(share), known.lang == share.of).where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    chosen = known.join(share, known.lang == share.of).where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
-    def count(key, pdf):
-        import pandas as pd
-
-        total = np.zeros(2 * BUCKETS)
-        for text in pdf["text"]:
-            for found in grams(folded(text)):
-                total += np.bincount(found, minlength=2 * BUCKETS)
-        return pd.DataFrame({"lang": [key[0]], "n": [total.tolist()]})
+    def count(batches):
+        import pyarrow as pa
 
-    rows = chosen.select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, n array<double>").collect()
-    return Model({r["lang"]: np.array(r["n"]) for r in rows})
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                total = sums.setdefault(lang, np.zeros(2 * BUCKETS, np.int64))
+                for found in grams(folded(text.as_py())):
+                    total += np.bincount(found, minlength=2 * BUCKETS)
+        for lang, total in sums.items():
+            some = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(total[some])], names=["lang", "bucket", "n"])
+
+    # a task returns its sums, so that no task holds a language's texts
+    rows = chosen.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    sums = {x: np.zeros(2 * BUCKETS) for x in set(rows["lang"])}
+    for lang, bucket, n in zip(rows["lang"], rows["bucket"], rows["n"], strict=True):
+        sums[lang][bucket] = n
+    return Model(sums)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
