@@ -38,16 +38,15 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
 
 
 def repeated_words(words: Column, size: int = 3) -> Column:
-    """How many words stand in a window of `size` words that occurs twice or more. Windows are sorted with their places, so the cost is n log n at any length."""
-    joined = "concat_ws(' ', " + ", ".join(f"{{w}}[i + {k}]" for k in range(size)) + ")"
+    """How many words stand in a window of `size` words that occurs twice or more. Windows are told apart by 64-bit hashes; only a text where one occurs twice has them sorted with their places, so the cost is n log n at any length."""
+    hashed = "xxhash64(" + ", ".join(f"{{w}}[i + {k}]" for k in range(size)) + ")"
     return F.expr(f"""
-      CASE WHEN size({{w}}) <= {size} THEN 0L ELSE
-        aggregate(transform(array(sort_array(transform(array(sort_array(transform(
-            sequence(0, size({{w}}) - {size}),
-            i -> struct({joined} AS s, i AS i)))),
-          x -> transform(filter(x, (e, k) -> (k > 0 AND get(x, k - 1).s = e.s) OR get(x, k + 1).s = e.s), e -> e.i))[0])),
+      CASE WHEN size({{w}}) <= {size} THEN 0L ELSE transform(array(transform(sequence(0, size({{w}}) - {size}), i -> {hashed})), h ->
+        CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE
+        aggregate(transform(array(array_sort(transform(filter(transform(array(sort_array(transform(h, (s, i) -> struct(s AS s, i AS i)))),
+            x -> transform(x, (e, k) -> struct(e.i AS i, (k > 0 AND get(x, k - 1).s = e.s) OR coalesce(get(x, k + 1).s = e.s, false) AS again)))[0], e -> e.again), e -> e.i))),
           p -> aggregate(transform(p, (e, k) -> least({size}, coalesce(get(p, k + 1) - e, {size}))), 0L, (a, e) -> a + e)),
-        0L, (a, e) -> a + e) END""".replace("{w}", words))
+        0L, (a, e) -> a + e) END)[0] END""".replace("{w}", words))
 
 
 def measures(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
