@@ -12,8 +12,7 @@ land where its words come nearest to the target.
 Nulls: a null source is a source of its own, the last; a null text has no words
 and is taken 0 words. Empty table: no rows. Ties and repeated rows: by the order
 of (hash of doc_id, doc_id, size); reruns agree. Rows with a null doc_id are mixed
-like others; in what remix returns those of one text count as rows of one doc_id. Sources are counted on the
-driver, one row each.
+like others; in what remix returns those of one text count as rows of one doc_id. Very long texts are sized whole. Sources may be many: their table is never collected or sent by force.
 """
 
 from __future__ import annotations
@@ -29,28 +28,6 @@ from .common import in_order, n_words, settle
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 20_000
-#: Sources up to which their table of rates is sent to every task.
-SENT_SOURCES = 50_000
-
-
-def targets(sizes: list[int], weights=WEIGHTS, most: int = MOST) -> list[float]:
-    """Shares of the total by weight; what lies above `most` times a source's size is shared again among the others."""
-    weight = [weights[i % len(weights)] for i in range(len(sizes))]
-    target, full, left = [0.0] * len(sizes), set(), float(sum(sizes))
-    while True:
-        open_ = [i for i in range(len(sizes)) if i not in full]
-        total = sum(weight[i] for i in open_)
-        over = []
-        for i in open_:
-            target[i] = left * weight[i] / total
-            if target[i] >= most * sizes[i]:
-                over.append(i)
-        if not over:
-            return target
-        for i in over:
-            target[i] = float(most * sizes[i])
-            full.add(i)
-            left -= target[i]
 
 
 def flight(size: np.ndarray, p: np.ndarray, seed: tuple[int, ...], land: bool) -> np.ndarray:
@@ -85,17 +62,39 @@ def flight(size: np.ndarray, p: np.ndarray, seed: tuple[int, ...], land: bool) -
     return np.array(q)
 
 
-def rates(sized: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK):
-    """A row per source, in order of code points with null last: number, size, target, times each, rate left over, blocks."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    out = []
-    for k, (r, t) in enumerate(zip(rows, targets([r["size"] for r in rows], weights, most), strict=True)):
-        rate = t / r["size"] if r["size"] else 0.0
-        times = int(rate + 1e-12)
-        left = rate - times
-        out.append((k, r["source"], r["size"], t, times, left if left > 1e-12 else 0.0, -(-r["n"] // block)))
-    return out
+def rates(sized: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """A row per source: k (its number, in order of code points with null last), of, source_size, target, base (times each), p (rate left over), blocks. The table of sources stays distributed; the driver sees sums."""
+    spark = sized.sparkSession
+    order = (F.col("source").isNull(), F.col("source"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    sources = settle(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    bases, before = [], 0
+    for r in sources.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        bases.append((r["p"], before))
+        before += r["n"]
+    k = F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = sources.join(spark.createDataFrame(bases, "part long, first long"), F.shiftright("at", 33) == F.col("part")).withColumn("k", k)
+    numbered = numbered.withColumn("w", F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("k") % len(weights) + 1).cast("int")))
+    # a level rises until no source that is below its bound would be lifted above it: what full sources leave is shared by weight
+    total = sources.agg(F.sum("size").alias("s")).first()["s"] or 0
+    left, weight, level = 0, 1, 0.0
+    while True:
+        full = F.col("w") * F.lit(level) >= most * F.col("size")
+        r = numbered.agg(F.sum(F.when(full, F.col("size"))).alias("s"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if not r["w"]:
+            break
+        left, weight = total - most * (r["s"] or 0), r["w"]
+        if left / weight <= level:
+            break
+        level = left / weight
+    full = F.col("w") * F.lit(level) >= most * F.col("size")
+    target = F.when(full, (most * F.col("size")).cast("double")).otherwise(F.lit(float(left)) * F.col("w") / F.lit(float(weight)))
+    rated = numbered.withColumn("target", target).withColumn("rate", F.coalesce(F.try_divide("target", "size"), F.lit(0.0)))
+    base = F.floor(F.col("rate") + 1e-12)
+    over = F.col("rate") - base
+    return rated.select(
+        "k", F.col("source").alias("of"), F.col("size").alias("source_size"), "target", base.cast("int").alias("base"), F.when(over > 1e-12, over).otherwise(0.0).alias("p"), F.ceil(F.col("n") / block).alias("blocks")
+    )
 
 
 def _mover(level: int, last: bool):
@@ -114,19 +113,15 @@ def _mover(level: int, last: bool):
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken, times (how often the document is taken)."""
-    spark = docs.sparkSession
     sized = settle(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"].cast("string")).alias("size")))
-    table = rates(sized, weights, most, block)
-    lookup = spark.createDataFrame(table, "k int, of string, source_size long, target double, base int, p double, blocks long")
-    if len(table) <= SENT_SOURCES:
-        lookup = F.broadcast(lookup)
+    lookup = settle(rates(sized, weights, most, block))
     rated = sized.join(lookup, F.col("source").eqNullSafe(F.col("of")))
     own = ["doc_id", "size", "source_size", "target", "base"]
     undecided = (F.col("p") > 0) & (F.col("size") > 0)
-    fields = "k int, block long, doc_id long, size long, source_size long, target double, base int, p double"
+    fields = "k long, block long, doc_id long, size long, source_size long, target double, base int, p double"
     decided = rated.where(~undecided).select(*own, F.lit(0).alias("s"))
-    moving = rated.where(undecided).select("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), "doc_id", "size", "source_size", "target", "base", "p")
-    left, level = max([r[6] for r in table if r[5] > 0], default=0), 0
+    moving = rated.where(undecided).select("k", F.pmod(F.xxhash64("doc_id", "size"), F.col("blocks")).alias("block"), "doc_id", "size", "source_size", "target", "base", "p")
+    left, level = lookup.where("p > 0").agg(F.max("blocks").alias("b")).first()["b"] or 0, 0
     while left:
         last = left == 1
 

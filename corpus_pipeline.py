@@ -1,12 +1,18 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing.
+
+Every stage takes the columns of documents and any others, whatever their names, and
+all but the last return them. Nulls: a null text has no words, so the rules reject it; a null doc_id is a
+document of its own for each text; a null source is a source. Repeated rows: one of them
+stays after the near-duplicates. Rows of one doc_id with other texts are other documents. Ties: the smallest doc_id stays; the rest is
+by hashes, so reruns agree. Empty texts and tables: no rows. Very long texts are judged, scanned and packed whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm import minhash, mixing, packing, quality, secrets
-from cairn.llm.common import settle
+from cairn.llm.common import drop, settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

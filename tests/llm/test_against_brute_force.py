@@ -138,6 +138,16 @@ def test_links_of_large_groups():
     assert components(range(700), links) == components(range(700), minhash.links_among(sets, 85))
 
 
+def water_level(sizes, weights=(5, 2, 1), most=3):
+    """Targets by bisection: each source gets its weight times a level, at most `most` times its size."""
+    total, low, high = sum(sizes), 0.0, float(most * sum(sizes) + 1)
+    at = lambda level: [min(level * weights[i % len(weights)], most * n) for i, n in enumerate(sizes)]
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(at(middle)) < total else (low, middle)
+    return at(high)
+
+
 def test_mixing(docs):
     from cairn.llm import mixing
 
@@ -146,7 +156,7 @@ def test_mixing(docs):
         sizes[r.source] += len(WORD.findall(r.text or ""))
         sources[r.doc_id] = r.source
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([sizes[s] for s in order]), strict=True))
+    want = dict(zip(order, water_level([sizes[s] for s in order]), strict=True))
     rows = rows_of(mixing.mix(docs))
     assert len(rows) == docs.count()
     taken, most = defaultdict(int), defaultdict(int)

@@ -62,3 +62,20 @@ def test_mix_of_null_ids(spark):
     for r in mixing.remix(docs).collect():
         got[sizes[r.source]] += len(r.text.split())
     assert all(abs(got[s] - want[s]) <= 2 * 90 for s in want)
+
+
+def test_many_sources_keep_their_table_distributed(spark):
+    from cairn.llm import mixing
+
+    from .test_against_brute_force import water_level
+
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 300]), None if i % 97 == 0 else f"s{i % 211:03d}é") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, water_level([sizes[s] for s in order]), strict=True))
+    source = {i: s for i, _, s in rows}
+    assert len(got) == 1500 and all(abs(r.target - want[source[r.doc_id]]) < 1e-6 * (1 + r.target) for r in got)
