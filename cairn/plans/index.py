@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import scalars
-from cairn.operators import code_links, linkers
+from cairn.operators import calls, code_links, linkers
+from cairn.operators.infra_links import first_of
 from cairn.store import settle
 from cairn.sources import brace_code, contracts, ddl, markdown, python_code
 
@@ -49,7 +50,7 @@ def index(files: DataFrame, package: str) -> tuple[DataFrame, DataFrame, DataFra
     symbols = found.where("record = 'symbol' and kind <> 'Module'").select(
         _uid(language("file"), package, F.col("file"), F.col("fqn")).alias("uid"), "kind", "name", "fqn", F.col("file").alias("path"), F.col("line").alias("start_line"), "end_line", F.col("owner").alias("container_fqn")
     )
-    symbols = settle(symbols.dropDuplicates(["uid"]))
+    symbols = settle(first_of(symbols, ["uid"], ["start_line", "end_line", "kind"]))
     whole = settle(symbols.drop("container_fqn").unionByName(modules))
     place = whole.select(F.col("path").alias("file"), F.col("fqn").alias("owner"), F.col("uid").alias("from"))
     inside = lambda record: found.where(F.col("record") == record).join(place, ["file", "owner"], "left")
@@ -60,18 +61,27 @@ def index(files: DataFrame, package: str) -> tuple[DataFrame, DataFrame, DataFra
 
     imports = found.where("record = 'import'").select("file", F.col("value").alias("specifier")).distinct()
     paths = code.select("path")
-    by_path = linkers.resolve_imports(imports.where(~F.col("file").endswith(".py")), paths).select("file", "resolved")
-    by_module = code_links.resolve_modules(imports.where(F.col("file").endswith(".py")).withColumnRenamed("specifier", "module"), paths).select("file", "resolved")
-    met = settle(by_path.unionByName(by_module).where("resolved is not null").distinct())
+    by_path = linkers.resolve_imports(imports.where(~F.col("file").endswith(".py")), paths).select("file", "specifier", "resolved")
+    by_module = code_links.resolve_modules(imports.where(F.col("file").endswith(".py")).withColumnRenamed("specifier", "module"), paths).select("file", F.col("module").alias("specifier"), "resolved")
+    told = settle(by_path.unionByName(by_module).where("resolved is not null"))
+    met = told.select("file", "resolved").distinct()
+    bindings = found.where("record = 'import' and name is not null").select("file", "name", F.col("value").alias("specifier")).join(told, ["file", "specifier"]).select("file", "name", F.col("resolved").alias("target"))
     module = lambda c: _uid(language(c), package, F.col(c), F.lit("<module>"))
     edges.append(_edges(_sure(met.select(module("file").alias("src"), module("resolved").alias("dst"))), "src", "dst", "Imports"))
 
-    sites = inside("call").where("`from` is not null").select(F.concat_ws(":", "file", "line", "col", "name").alias("site"), "file", F.col("name").alias("callee"), F.col("from").alias("caller"))
-    called = symbols.where("kind in ('Function', 'Method', 'Class')").select("uid", "name", F.col("path").alias("file"), "kind")
-    calls = linkers.link_calls_tiered(sites, called, met.select("file", F.col("resolved").alias("target")))
-    edges.append(_edges(calls, "caller", "uid", "Calls"))
-
-    ops = operations.where("key is not null").withColumn("op", F.concat_ws("|", F.lit("contract"), F.lit(package), F.lower("format"), "key", F.lit(""))).dropDuplicates(["op"])
+    calling = inside("call").where("`from` is not null").select(
+        F.concat_ws(":", "file", "line", "col", "name").alias("site"), "file", F.col("name").alias("callee"), F.col("from").alias("caller"), "owner",
+        F.when(F.col("kind") != "bare", F.col("value")).alias("receiver"), (F.col("kind") == "path").alias("path"),
+    )
+    called = symbols.select("uid", "name", F.col("path").alias("file"), "kind", "container_fqn")
+    for name in calls.RULES:
+        ours = lambda df, c="file": df.where(language(c) == name)  # noqa: E731, B023
+        linked = calls.link_calls(ours(calling), ours(called), bindings, name)
+        best = linked.groupBy("caller", "uid").agg(F.max_by(F.struct("provenance", "confidence"), "confidence").alias("g")).select("caller", "uid", "g.*")
+        edges.append(_edges(best, "caller", "uid", "Calls"))
+
+    ops = operations.where("key is not null").withColumn("op", F.concat_ws("|", F.lit("contract"), F.lit(package), F.lower("format"), "key", F.lit("")))
+    ops = first_of(ops, ["op"], ["file", "key"])
     handlers = inside("route").select(F.concat_ws(":", "file", "line", "kind").alias("route"), F.col("kind").alias("method"), F.col("value").alias("path"), "file", F.col("name").alias("handler"), F.col("owner").alias("enclosing_fqn"))
     made = linkers.link_producers(handlers, ops).join(code_links.handler_or_enclosing(handlers, whole.select("uid", F.col("path").alias("file"), "name", "fqn")), "route")
     edges.append(_edges(made, "uid", "op", "Produces"))

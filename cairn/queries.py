@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairn import schema
 from cairn.functions import scalars
-from cairn.operators import code_links, infra_links, linkers, metrics, overlay, views, walk
+from cairn.operators import calls, code_links, infra_links, linkers, metrics, overlay, views, walk
 from cairn.plans import derived
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,14 +207,71 @@ def link_consumers_theta(spark, sf_dir):
     return linkers.link_consumers(_sql(spark, sf_dir, _CALLS, "part"), _sql(spark, sf_dir, _OPS, "part"))
 
 
-_SITES = "SELECT o_orderkey AS site, concat('f', o_custkey % 40) AS file, concat('n', o_orderkey % 60) AS callee, concat('u', o_custkey) AS caller FROM orders"
-_SYMS = "SELECT concat('u', c_custkey) AS uid, concat('n', c_custkey % 75) AS name, concat('f', c_nationkey) AS file, CASE c_custkey % 3 WHEN 0 THEN 'Method' ELSE 'Function' END AS kind FROM customer"
-_IMPS = "SELECT DISTINCT concat('f', s_suppkey % 40) AS file, concat('f', s_nationkey) AS target FROM supplier"
+_SITES = """SELECT o_orderkey AS site, concat('f', o_custkey % 40) AS file, concat('n', o_orderkey % 60) AS callee, concat('u', o_custkey) AS caller,
+  CASE o_custkey % 3 WHEN 0 THEN 'g' ELSE concat('K', o_orderkey % 5, '.m') END AS owner, CASE o_orderkey % 8 WHEN 0 THEN 'self' WHEN 1 THEN 'this' WHEN 2 THEN concat('K', o_orderkey % 5) WHEN 3 THEN 'x' END AS receiver,
+  o_orderkey % 8 = 2 AS path FROM orders"""
+_SYMS = """SELECT concat('u', c_custkey) AS uid, concat('n', c_custkey % 75) AS name, concat('f', c_nationkey) AS file, CASE c_custkey % 3 WHEN 0 THEN 'Method' ELSE 'Function' END AS kind,
+  CASE c_custkey % 3 WHEN 0 THEN concat('K', c_custkey % 4) END AS container_fqn FROM customer
+  UNION ALL SELECT concat('t', s_suppkey), concat('K', s_suppkey % 5), concat('f', s_nationkey), 'Class', NULL FROM supplier"""
+_BINDS = "SELECT concat('f', s_suppkey % 40) AS file, concat('n', s_suppkey % 60) AS name, min(concat('f', s_nationkey)) AS target FROM supplier GROUP BY 1, 2"
 
+# The rules as SQL: all candidates of a site with their tier, then the least tier.
+_CALLED = f"WITH s AS ({_SITES}), y AS ({_SYMS}), i AS ({_BINDS}), own AS (SELECT site, caller, uid FROM s JOIN y ON y.file = s.file AND name = callee WHERE receiver IS NULL AND kind <> 'Class'), bound AS (SELECT DISTINCT site, caller, uid FROM s JOIN i ON i.file = s.file AND i.name = callee JOIN y ON y.file = target AND y.name = callee WHERE receiver IS NULL)"
+_GRADE = "SELECT site, caller, uid, rule, CASE WHEN rule = 'local' THEN 'Extracted' WHEN rule IN ('imported', 'itself') OR rule IN ('named', 'bare') AND n = 1 THEN 'Inferred' ELSE 'Ambiguous' END AS provenance, CAST(CASE WHEN rule = 'local' THEN 0.95 WHEN rule IN ('imported', 'itself') OR rule IN ('named', 'bare') AND n = 1 THEN 0.8 WHEN rule = 'unknown' THEN {unknown} ELSE 0.35 END AS FLOAT) AS confidence"
 
-@query(f"WITH s AS ({_SITES}), y AS ({_SYMS}), i AS ({_IMPS}), n AS (SELECT site, caller, s.file, y.uid, y.file AS loc, y.kind FROM s JOIN y ON y.name = s.callee), h AS (SELECT site, caller, uid, 1 AS tier FROM n WHERE file = loc UNION ALL SELECT site, caller, uid, 2 FROM n WHERE (file, loc) IN (SELECT (file, target) FROM i) UNION ALL SELECT site, caller, uid, 3 FROM n WHERE kind = 'Function'), r AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY tier) AS k FROM h), g AS (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM r WHERE k = 1) SELECT site, caller, uid, tier, CASE WHEN n > 1 THEN 'Ambiguous' WHEN tier = 1 THEN 'Extracted' ELSE 'Inferred' END AS provenance, CAST(CASE WHEN n > 1 THEN 0.35 WHEN tier = 1 THEN 0.95 ELSE 0.8 END AS FLOAT) AS confidence FROM g WHERE caller <> uid", graph=False)
+
+def _calls_sql(own: str, bare: str | None, imports: bool, first: bool, unknown: float, beside: str = "") -> str:
+    itself = f"SELECT site, caller, uid, 'itself' AS rule, 4 AS tier FROM s JOIN y ON y.file = s.file AND name = callee AND kind = 'Method' AND container_fqn = split_part(owner, '.', 1) WHERE receiver IN ({own}) AND owner LIKE '%.%'"
+    other = f"SELECT site, caller, uid, 'unknown', 5 FROM s JOIN y ON name = callee AND kind = 'Method' WHERE receiver NOT IN ({own}){' AND NOT path' if beside else ''}"
+    if first:
+        tiers = "SELECT site, caller, uid, 'local', 1 FROM own" + (" UNION ALL SELECT site, caller, uid, 'imported', 2 FROM bound" if imports else "")
+        tiers += f" UNION ALL SELECT site, caller, uid, 'named', 3 FROM s JOIN y ON name = callee AND kind IN ({bare}) WHERE receiver IS NULL"
+    else:
+        tiers = "SELECT site, caller, uid, 'bare', 1 FROM (SELECT * FROM own UNION SELECT * FROM bound)"
+    graded = f"{_CALLED}, h AS ({itself} UNION ALL {other} UNION ALL {tiers}), k AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY tier) AS k FROM h), g AS (SELECT *, count(*) OVER (PARTITION BY site) AS n FROM k WHERE k = 1){beside and ', ' + beside} {_GRADE.format(unknown=unknown)} FROM g WHERE caller <> uid"
+    return graded + (" UNION ALL SELECT site, caller, uid, 'typed', provenance, confidence FROM q WHERE caller <> uid" if beside else "")
+
+
+_TYPED = """e AS (SELECT s.*, y.uid, y.file AS loc FROM s LEFT JOIN y ON kind = 'Method' AND name = callee AND container_fqn = receiver WHERE path),
+m AS (SELECT site, caller, uid, file = loc AS same, count(*) OVER (PARTITION BY site) AS n FROM e WHERE uid IS NOT NULL),
+u AS (SELECT site, caller, callee, receiver IN (SELECT name FROM y WHERE kind = 'Class' UNION SELECT container_fqn FROM y WHERE kind = 'Method') AS known FROM e WHERE uid IS NULL),
+w AS (SELECT site, caller, y.uid, known, count(*) OVER (PARTITION BY site) AS n FROM u JOIN y ON y.name = callee AND (kind = 'Method' OR kind = 'Function' AND NOT known)),
+q AS (SELECT site, caller, uid, CASE WHEN n > 1 THEN 'Ambiguous' WHEN same THEN 'Extracted' ELSE 'Inferred' END AS provenance, CAST(CASE WHEN n > 1 THEN 0.35 WHEN same THEN 0.95 ELSE 0.8 END AS FLOAT) AS confidence FROM m
+  UNION ALL SELECT site, caller, uid, CASE WHEN known OR n > 1 THEN 'Ambiguous' ELSE 'Inferred' END, CAST(CASE WHEN known OR n > 1 THEN 0.35 ELSE 0.8 END AS FLOAT) FROM w)"""
+
+
+def _linked(spark, sf_dir, language):
+    return calls.link_calls(_sql(spark, sf_dir, _SITES, "orders"), _sql(spark, sf_dir, _SYMS, "customer", "supplier"), _sql(spark, sf_dir, _BINDS, "supplier"), language)
+
+
+@query(_calls_sql("'self'", "'Function'", True, True, 0.35), graph=False)
 def link_calls_tiered(spark, sf_dir):
-    return linkers.link_calls_tiered(_sql(spark, sf_dir, _SITES, "orders"), _sql(spark, sf_dir, _SYMS, "customer"), _sql(spark, sf_dir, _IMPS, "supplier"))
+    """Python: own definitions, imported names, functions of the name; self; methods of another object."""
+    return _linked(spark, sf_dir, "py")
+
+
+@query(_calls_sql("'this'", None, True, False, 0.39), graph=False)
+def link_calls_ts(spark, sf_dir):
+    return _linked(spark, sf_dir, "ts")
+
+
+@query(_calls_sql("'this'", "'Function', 'Method'", False, True, 0.35), graph=False)
+def link_calls_cs(spark, sf_dir):
+    return _linked(spark, sf_dir, "cs")
+
+
+@query(_calls_sql("'self', '&self'", "'Function', 'Method'", False, True, 0.35, _TYPED), graph=False)
+def link_calls_rust(spark, sf_dir):
+    return _linked(spark, sf_dir, "rust")
+
+
+@query("WITH s AS (SELECT o_orderkey AS signal, concat('Query.f', o_orderkey % 700) AS key FROM orders), o AS (SELECT concat('op', p_partkey) AS op, concat('Query.f', p_partkey % 900) AS key, CASE WHEN p_partkey % 4 = 0 THEN 'OpenApi' ELSE 'GraphQl' END AS format FROM part), h AS (SELECT signal, op, count(*) OVER (PARTITION BY signal) AS n FROM s JOIN o USING (key) WHERE format = 'GraphQl') SELECT signal, op, CASE WHEN n = 1 THEN 'Extracted' ELSE 'Ambiguous' END AS provenance, CAST(CASE WHEN n = 1 THEN 0.95 ELSE 0.35 END AS FLOAT) AS confidence FROM h", graph=False)
+def link_graphql_consumers(spark, sf_dir):
+    """Orders as calls of GraphQL operations, parts as operations."""
+    signals = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("signal"), F.concat(F.lit("Query.f"), F.col("o_orderkey") % 700).alias("key"))
+    k = F.col("p_partkey")
+    ops = _t(spark, sf_dir, "part").select(F.concat(F.lit("op"), k).alias("op"), F.concat(F.lit("Query.f"), k % 900).alias("key"), F.when(k % 4 == 0, "OpenApi").otherwise("GraphQl").alias("format"))
+    return code_links.graphql_links(signals, ops, 0.95, "Extracted")
 
 
 @query("WITH c AS (SELECT concat(p_type, '.', p_size, '@', p_partkey % 3) AS uid, p_type AS t, concat('s', p_size) AS col, concat('f', p_partkey % 3) AS file FROM part), f AS (SELECT t, col, min_by(uid, file) AS dst FROM c GROUP BY 1, 2), k AS (SELECT DISTINCT concat('k', l_partkey) AS src, p_type AS t, concat('s', l_linenumber * 9) AS col FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT src, dst, 'ForeignKey' AS kind, 'Extracted' AS provenance, CAST(0.95 AS FLOAT) AS confidence FROM k JOIN f USING (t, col)", graph=False)
@@ -349,10 +406,10 @@ def live_edges(spark, sf_dir):
     return walk.live(nodes, edges).groupBy("kind", "provenance").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
 
 
-_STATEMENTS = "SELECT part.p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'Deny' ELSE 'Allow' END AS effect, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 11 = 0 THEN '*' ELSE concat('s3:', lower(split_part(p_type, ' ', 1))) END AS action, CASE WHEN p_size % 13 = 0 THEN 'iam:Pass' END AS not_action FROM part"
+_STATEMENTS = "SELECT part.p_partkey AS id, CASE WHEN p_size % 17 = 0 THEN NULL WHEN p_size % 5 = 0 THEN 'Deny' WHEN p_size % 5 = 1 THEN 'Maybe' ELSE 'Allow' END AS effect, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 11 = 0 THEN '*' ELSE concat('s3:', lower(split_part(p_type, ' ', 1))) END AS action, CASE WHEN p_size % 13 = 0 THEN 'iam:Pass' END AS not_action FROM part"
 
 
-@query(f"SELECT id, CASE WHEN effect = 'Deny' THEN 'deny-statement' WHEN not_action IS NOT NULL THEN 'not-action' WHEN action IS NULL THEN 'no-action' WHEN contains(action, '*') THEN 'wildcard' END AS opaque, CASE WHEN effect = 'Allow' AND not_action IS NULL THEN action END AS granted FROM ({_STATEMENTS})", graph=False)
+@query(f"SELECT id, CASE WHEN effect = 'Deny' THEN 'deny-statement' WHEN effect IS NULL OR effect <> 'Allow' THEN 'unknown-effect' WHEN not_action IS NOT NULL THEN 'not-action' WHEN action IS NULL THEN 'missing-action' WHEN contains(action, '*') THEN 'wildcard' END AS opaque, CASE WHEN effect = 'Allow' AND not_action IS NULL THEN action END AS granted FROM ({_STATEMENTS})", graph=False)
 def iam_statement_grade(spark, sf_dir):
     from cairn.sources import iam
 

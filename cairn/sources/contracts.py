@@ -146,8 +146,8 @@ def _fields(ts, i) -> tuple[list[tuple[str, str | None]], int]:
 
 
 def graphql(path: str, text: str) -> list[tuple]:
-    """Fields of the root types, which a schema block may rename. Any error fails the file."""
-    ts, roots, types, i = _gql_tokens(text), {}, [], 0
+    """Fields of the root types. A schema block renames those it names, the others keep their names. Extensions of a type are no definitions. Any error fails the file."""
+    ts, named, types, i = _gql_tokens(text), {r: r for r in ("Query", "Mutation", "Subscription")}, [], 0
     while i < len(ts):
         t = ts[i][1]
         if t == "schema":
@@ -155,8 +155,10 @@ def graphql(path: str, text: str) -> list[tuple]:
             end = _skip(ts, j, "{", "}")
             for k in range(j + 1, end - 2):
                 if ts[k][0] == "name" and ts[k + 1][1] == ":":
-                    roots[ts[k + 2][1]] = ts[k][1].capitalize()
+                    named[ts[k][1].capitalize()] = ts[k + 2][1]
             i = end
+        elif t == "extend" and i + 1 < len(ts):
+            i += 2  # what follows is read as a body of nothing
         elif t == "type" and i + 1 < len(ts):
             j = i + 2
             while j < len(ts) and ts[j][1] != "{" and ts[j][1] not in ("type", "schema", "enum", "input", "interface", "extend", "union", "scalar"):
@@ -169,7 +171,8 @@ def graphql(path: str, text: str) -> list[tuple]:
                 i = j
         else:
             i = _skip(ts, i, "{", "}") if t == "{" else i + 1
-    roots = roots or {r: r for r in ("Query", "Mutation", "Subscription")}
+    # a type that backs several roots counts as the first of them
+    roots = {name: root for root, name in reversed(named.items()) if root in ("Query", "Mutation", "Subscription")}
     return [("GraphQl", f"{roots[name]}.{f}", roots[name], None, None, None, said) for name, fields in types if name in roots for f, said in fields]
 
 

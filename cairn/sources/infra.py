@@ -45,24 +45,27 @@ def grade(v) -> tuple[str, list[str]] | None:
 def policies(document) -> tuple[list[str], list[str]]:
     """Actions a policy plainly allows, and the reasons why the rest is opaque."""
     granted, opaque = [], []
-    statements = document.get("Statement", []) if isinstance(document, dict) else []
+    statements = document.get("Statement") if isinstance(document, dict) else None
+    if not isinstance(statements, (list, dict)):
+        return [], ["malformed-policy"]
     for s in statements if isinstance(statements, list) else [statements]:
-        if not isinstance(s, dict):
-            opaque.append("not-a-statement")
-            continue
-        if s.get("Effect") == "Deny":
+        effect = s.get("Effect") if isinstance(s, dict) else None
+        if effect == "Deny":
             opaque.append("deny-statement")
+        elif effect != "Allow":  # neither is said to grant nor to deny
+            opaque.append("unknown-effect")
         elif "NotAction" in s:
             opaque.append("not-action")
+        elif "Action" not in s:
+            opaque.append("missing-action")
         else:
-            actions = s.get("Action", [])
-            for a in actions if isinstance(actions, list) else [actions]:
+            for a in s["Action"] if isinstance(s["Action"], list) else [s["Action"]]:
                 if isinstance(a, str):
                     granted.append(a)
                     opaque += ["wildcard"] if "*" in a else []
                 else:
-                    opaque.append("not-a-literal")
-        opaque += ["condition"] if "Condition" in s else []
+                    opaque.append("dynamic-action")
+        opaque += ["condition"] if isinstance(s, dict) and "Condition" in s else []
     return list(dict.fromkeys(granted)), list(dict.fromkeys(opaque))
 
 
