@@ -32,6 +32,11 @@ class Options:
         return schema.WALKED + (("Imports",) if self.imports else ()) + (schema.WALKED_INFRA if self.infra else ())
 
 
+def _ready(nodes: DataFrame, edges: DataFrame, options: Options, *more: str) -> DataFrame:
+    """Live edges of the kinds a walk goes along, and of more, written once: each level reads them."""
+    return settle(live(nodes, edges.where(F.col("kind").isin(*options.kinds(), "Produces", "Consumes", *more))))
+
+
 def live(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both of whose ends are vertices."""
     ids = nodes.select("uid")
@@ -55,16 +60,27 @@ def _step(frontier: DataFrame, edges: DataFrame, options: Options, path: bool) -
 
 
 def reach(starts: DataFrame, edges: DataFrame, options: Options, path: bool = False) -> DataFrame:
-    """starts: target, uid, amb, conf, depth. All states reached after them, with depth."""
+    """starts: target, uid, amb, conf, depth. States reached after them, with depth.
+
+    A state no surer than one of the same vertex and ambiguity of an earlier level
+    is left out and not walked on: whatever follows it, the earlier one reaches sooner
+    and at least as surely. So a cycle ends once it adds nothing.
+    """
     keep = ["target", "uid", "amb", "conf", *(["path"] if path else [])]
     frontier, out = None, None
     for d in range(options.depth):
         new = starts.where(F.col("depth") == d).select(*keep)
         frontier = new if frontier is None else frontier.unionByName(new)
+        found = _step(frontier, edges, options, path)
+        if out is not None:
+            seen = out.groupBy("target", "uid", "amb").agg(F.max("conf").alias("surest"))
+            found = found.join(seen, ["target", "uid", "amb"], "left").where("surest is null or conf > surest").select(*keep)
         # written per level, as the levels before would be run again for each level after
-        frontier = settle(_step(frontier, edges, options, path))
+        frontier = settle(found)
         level = frontier.withColumn("depth", F.lit(d + 1))
         out = level if out is None else out.unionByName(level)
+        if d + 1 < options.depth and frontier.isEmpty() and starts.where(F.col("depth") > d).isEmpty():
+            break
     return out
 
 
@@ -74,7 +90,10 @@ def _merged(states: DataFrame) -> DataFrame:
 
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, options: Options = Options()) -> DataFrame:
     """target, uid, name, depth, confidence, ambiguous, will_break of all that a change of each target reaches. targets: uid."""
-    edges = live(nodes, edges)
+    return _impact(nodes, _ready(nodes, edges, options), targets, options)
+
+
+def _impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, options: Options) -> DataFrame:
     given = targets.select(F.col("uid").alias("target")).distinct()
     least = F.lit(options.min_confidence).cast("float")
     start = given.select("target", F.col("target").alias("uid"), F.lit(False).alias("amb"), F.lit(1.0).cast("float").alias("conf"), F.lit(0).alias("depth"))
@@ -108,7 +127,7 @@ def explain(nodes: DataFrame, edges: DataFrame, targets: DataFrame, options: Opt
     """target, uid, hop, from, to, edge_kind, provenance, confidence, running_confidence: the surest path to each vertex of the plain walk."""
     empty = "cast(array() as array<struct<to:string,from:string,edge_kind:string,provenance:string,edge_confidence:float,running:float>>)"
     start = targets.select(F.col("uid").alias("target")).distinct().select("target", F.col("target").alias("uid"), F.lit(False).alias("amb"), F.lit(1.0).cast("float").alias("conf"), F.lit(0).alias("depth"), F.expr(empty).alias("path"))
-    states = reach(start, live(nodes, edges), options, path=True).where("uid <> target")
+    states = reach(start, _ready(nodes, edges, options), options, path=True).where("uid <> target")
     best = states.groupBy("target", "uid").agg(F.max_by("path", F.struct("conf", -F.col("depth"))).alias("path"))
     hops = best.select("target", "uid", F.posexplode("path").alias("hop", "h"))
     return hops.select("target", "uid", (F.col("hop") + 1).alias("hop"), F.col("h.from").alias("from"), F.col("h.to").alias("to"), F.col("h.edge_kind"), F.col("h.provenance"), F.col("h.edge_confidence").alias("confidence"), F.col("h.running").alias("running_confidence"))
@@ -116,10 +135,10 @@ def explain(nodes: DataFrame, edges: DataFrame, targets: DataFrame, options: Opt
 
 def members_with_dependents(nodes: DataFrame, edges: DataFrame, targets: DataFrame, options: Options = Options()) -> DataFrame:
     """target, member, name: members of targets nothing depends on, whose own impact reaches someone other than the target."""
-    out = live(nodes, edges)
-    quiet = targets.select("uid").distinct().join(impact(nodes, edges, targets, options).select(F.col("target").alias("uid")), "uid", "left_anti")
+    out = _ready(nodes, edges, options, "Defines", "Contains", "HasColumn")
+    quiet = targets.select("uid").distinct().join(_impact(nodes, out, targets, options).select(F.col("target").alias("uid")), "uid", "left_anti")
     members = quiet.join(out.where("kind in ('Defines', 'Contains', 'HasColumn')"), quiet.uid == out.src).select(F.col("src").alias("owner"), F.col("dst").alias("uid")).distinct()
-    reached = impact(nodes, edges, members.select("uid").distinct(), options).select(F.col("target").alias("uid"), F.col("uid").alias("who"))
+    reached = _impact(nodes, out, members.select("uid").distinct(), options).select(F.col("target").alias("uid"), F.col("uid").alias("who"))
     alive = members.join(reached, "uid").where("who <> owner").select("owner", "uid").distinct()
     return alive.join(nodes.select("uid", "name"), "uid").select(F.col("owner").alias("target"), F.col("uid").alias("member"), "name")
 
