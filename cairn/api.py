@@ -26,7 +26,7 @@ class Graph:
 
     @classmethod
     def of_folder(cls, spark: SparkSession, root: str, package: str, patterns: list[str] = ()) -> Graph:
-        kept = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "rs", "cs", "sql", "json", "yaml", "yml", "graphql", "gql", "proto", "md")
+        kept = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "rs", "cs", "sql", "json", "yaml", "yml", "graphql", "gql", "proto", "md", "template", "tf", "tofu", "hcl")
         return cls.of_files(files.read(spark, root, kept, list(patterns)), package)
 
     @classmethod

@@ -10,7 +10,7 @@ from cairn.functions import scalars
 #: Confidence of a reference by how it is stated. Fixed values.
 STATED = {"Resource": 0.95, "Inferred": 0.70, "Multi": 0.70}
 #: Suffixes of a handler's source file, in the order they are named.
-HANDLER_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".cs")
+HANDLER_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", ".pyi")
 
 
 def _confidence(grade: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import scalars
 from cairn.operators import calls, code_links, linkers
 from cairn.operators.infra_links import first_of
+from cairn.plans import infra
 from cairn.store import settle
 from cairn.sources import brace_code, contracts, ddl, markdown, python_code
 
@@ -102,6 +103,9 @@ def index(files: DataFrame, package: str) -> tuple[DataFrame, DataFrame, DataFra
     models = found.where("record = 'orm'").select("file", F.col("fqn").alias("owner"), F.col("value").alias("name")).join(place, ["file", "owner"]).join(tables.groupBy("name").agg(F.min_by("uid", "file").alias("t")), "name")
     edges.append(_edges(_sure(models, confidence=0.95), "from", "t", "MapsTo"))
 
+    resources, wired, faults, _ = infra.plane(files, package, modules.select("uid", "path"), ops.where("format = 'GraphQl'").select("key", "op"))
+    edges += wired
+
     doc = sections.withColumn("fqn", F.concat_ws("#", "path", "anchor")).withColumn("uid", _uid(F.lit("doc"), package, F.col("path"), F.col("fqn")))
     named = doc.select(F.col("uid").alias("section"), F.col("path").alias("doc"), F.explode("refs").alias("r")).select("section", "doc", F.col("r.ref").alias("ref"), F.col("r.form").alias("form"))
     mentions = linkers.link_mentions(named, whole.select("uid", "path", "fqn", "name", (F.col("kind") == "Module").alias("path_bearing")))
@@ -110,12 +114,13 @@ def index(files: DataFrame, package: str) -> tuple[DataFrame, DataFrame, DataFra
     nothing = F.lit(None).cast("int")
     nodes = [
         whole,
+        *resources,
         ops.select(F.col("op").alias("uid"), F.when(F.col("format") == "GraphQl", "GraphqlField").otherwise("ApiOperation").alias("kind"), F.col("key").alias("name"), F.col("key").alias("fqn"), F.col("file").alias("path"), nothing.alias("start_line"), nothing.alias("end_line")),
         table.select(F.col("t").alias("uid"), F.lit("Table").alias("kind"), F.col("table").alias("name"), F.col("table").alias("fqn"), F.col("file").alias("path"), nothing.alias("start_line"), nothing.alias("end_line")).distinct(),
         table.select(F.col("c").alias("uid"), F.lit("Column").alias("kind"), F.col("column").alias("name"), F.concat_ws(".", "table", "column").alias("fqn"), F.col("file").alias("path"), nothing.alias("start_line"), nothing.alias("end_line")),
         doc.select("uid", F.lit("DocSection").alias("kind"), F.col("heading").alias("name"), "fqn", "path", "start_line", "end_line"),
     ]
-    errors = [x.where("error is not null").select("file", "error") for x in (found, operations, columns)]
+    errors = [x.where("error is not null").select("file", "error") for x in (found, operations, columns)] + [faults]
     return settle(_union(nodes)), settle(_union(edges)), _union(errors)
 
 

@@ -69,6 +69,40 @@ def policies(document) -> tuple[list[str], list[str]]:
     return list(dict.fromkeys(granted)), list(dict.fromkeys(opaque))
 
 
+# Policy templates of the serverless transform, and the actions each stands for.
+SAM = {
+    "DynamoDBCrudPolicy": ["dynamodb:GetItem", "dynamodb:DeleteItem", "dynamodb:PutItem", "dynamodb:Scan", "dynamodb:Query", "dynamodb:UpdateItem", "dynamodb:BatchWriteItem", "dynamodb:BatchGetItem", "dynamodb:DescribeTable", "dynamodb:ConditionCheckItem"],
+    "DynamoDBReadPolicy": ["dynamodb:GetItem", "dynamodb:Scan", "dynamodb:Query", "dynamodb:BatchGetItem", "dynamodb:DescribeTable"],
+    "DynamoDBWritePolicy": ["dynamodb:PutItem", "dynamodb:UpdateItem", "dynamodb:BatchWriteItem"],
+    "S3ReadPolicy": ["s3:GetObject", "s3:ListBucket", "s3:GetBucketLocation", "s3:GetObjectVersion", "s3:GetLifecycleConfiguration"],
+    "S3CrudPolicy": ["s3:GetObject", "s3:ListBucket", "s3:GetBucketLocation", "s3:GetObjectVersion", "s3:PutObject", "s3:PutObjectAcl", "s3:GetLifecycleConfiguration", "s3:PutLifecycleConfiguration", "s3:DeleteObject"],
+    "SQSSendMessagePolicy": ["sqs:SendMessage*"],
+    "SQSPollerPolicy": ["sqs:ChangeMessageVisibility", "sqs:ChangeMessageVisibilityBatch", "sqs:DeleteMessage", "sqs:DeleteMessageBatch", "sqs:GetQueueAttributes", "sqs:ReceiveMessage"],
+    "SNSPublishMessagePolicy": ["sns:Publish"],
+    "LambdaInvokePolicy": ["lambda:InvokeFunction"],
+    "KMSDecryptPolicy": ["kms:Decrypt"],
+    "SSMParameterReadPolicy": ["ssm:DescribeParameters", "ssm:GetParameters", "ssm:GetParameter", "ssm:GetParametersByPath"],
+    "AWSSecretsManagerGetSecretValuePolicy": ["secretsmanager:GetSecretValue"],
+}
+
+
+def function_policies(listed) -> tuple[list[str], list[str]]:
+    """The same of a serverless function's Policies: names of managed policies and unknown templates are reasons, never guesses."""
+    granted, opaque = [], []
+    for x in listed if isinstance(listed, list) else [listed]:
+        if isinstance(x, str):
+            more = [], [f"managed-policy:{x}"]
+        elif isinstance(x, dict) and ("Statement" in x or "PolicyDocument" in x):
+            more = policies(x if "Statement" in x else x["PolicyDocument"])
+        elif isinstance(x, dict) and len(x) == 1:
+            (name,) = x
+            more = (SAM[name], []) if name in SAM else ([], [f"sam-template:{name}"])
+        else:
+            more = [], ["dynamic-policy"]
+        granted, opaque = granted + more[0], opaque + more[1]
+    return list(dict.fromkeys(granted)), list(dict.fromkeys(opaque))
+
+
 def _refs(properties: dict, how) -> list[dict]:
     out = []
     for name, keys in REFERS.items():
@@ -97,7 +131,10 @@ def cloudformation(path: str, text: str) -> list[tuple]:
             raise ValueError(f"resource {name} has no type")
         p = r.get("Properties") or {}
         granted, opaque = [], []
-        listed = p.get("Policies") if isinstance(p.get("Policies"), list) else []
+        serverless = r["Type"] == "AWS::Serverless::Function"
+        listed = p.get("Policies") if isinstance(p.get("Policies"), list) and not serverless else []
+        if serverless and p.get("Policies") is not None:
+            granted, opaque = function_policies(p["Policies"])
         for d in [p.get("PolicyDocument"), *((x.get("PolicyDocument") or x) if isinstance(x, dict) else None for x in listed)]:
             if isinstance(d, dict):
                 a, b = policies(d)

@@ -1,5 +1,7 @@
 """A small repository from files to answers."""
 
+import json
+
 import pytest
 
 from cairn.api import Graph
@@ -12,6 +14,17 @@ FILES = {
     "web/log.ts": "export function log(x) { }",
     "db/schema.sql": "create table users (id int primary key, org int references orgs(id)); create table orgs (id int);",
     "docs/guide.md": "# Users\nSee `load` and [the store](server/store.py).\n",
+    "infra/template.json": json.dumps({"Resources": {
+        "Fn": {"Type": "AWS::Serverless::Function", "Properties": {"Handler": "app.get_user", "CodeUri": "../server", "Role": {"Fn::GetAtt": ["Job", "Arn"]}, "Policies": ["Managed", {"SNSPublishMessagePolicy": {}}, {"OwnPolicy": {}}]}},
+        "Job": {"Type": "AWS::IAM::Role", "Properties": {}}, "Api": {"Type": "AWS::AppSync::GraphQLApi", "Properties": {}},
+        "Src": {"Type": "AWS::AppSync::DataSource", "Properties": {"ApiId": {"Ref": "Api"}, "LambdaConfig": {"LambdaFunctionArn": {"Fn::GetAtt": ["Fn", "Arn"]}}}},
+        "Res": {"Type": "AWS::AppSync::Resolver", "Properties": {"TypeName": "Query", "FieldName": "user", "DataSourceName": {"Ref": "Src"}}},
+        "May": {"Type": "AWS::IAM::Policy", "Properties": {"Roles": [{"Ref": "Job"}], "PolicyDocument": {"Statement": [{"Effect": "Allow", "Action": "s3:GetObject"}, {"Effect": "Deny", "Action": "s3:*"}]}}},
+    }}),
+    "infra/schema.graphql": "type Query { user(id: ID): String }",
+    "live/app/terragrunt.hcl": 'dependency "net" {\n  config_path = "../net"\n}\ndependency "far" {\n  config_path = "../far"\n}\n',
+    "live/net/terragrunt.hcl": "",
+    "bad/template.json": '{"Resources": {"X": {"Type": "AWS::S3::Bucket"}, "Y": {}}}',
     "bad/broken.py": "def (",
     "empty.py": None,
 }
@@ -28,8 +41,14 @@ def test_edges(graph):
     assert {
         ("get_user", "Calls", "load"), ("show", "Calls", "log"), ("server/app.py", "Imports", "server/store.py"), ("web/client.ts", "Imports", "web/log.ts"),
         ("get_user", "Produces", "getUser"), ("show", "Consumes", "getUser"), ("load", "Reads", "users"), ("User", "MapsTo", "users"), ("users", "HasColumn", "users.org"),
+        ("Fn", "Runs", "server/app.py"), ("Fn", "Assumes", "Job"), ("Src", "Routes", "Fn"), ("Res", "Routes", "Src"), ("Api", "Contains", "Src"), ("Fn", "Produces", "Query.user"),
+        ("Fn", "Grants", "sns:Publish"), ("Fn", "Grants", "<opaque:managed-policy:Managed>"), ("Fn", "Grants", "<opaque:sam-template:OwnPolicy>"),
+        ("Job", "Grants", "s3:GetObject"), ("Job", "Grants", "<opaque:deny-statement>"), ("live/app", "Routes", "live/net"),
         ("users.org", "ForeignKey", "orgs.id"), ("docs/guide.md#users", "Mentions", "load"), ("docs/guide.md#users", "Mentions", "server/store.py"), ("load", "MemberOf", "server/store.py"),
     } <= got
+    names = {(n["kind"], n["name"]) for n in graph.nodes.collect()}
+    assert {("LambdaFn", "Fn"), ("CloudAction", "sns:Publish"), ("CloudResource", "live/net")} <= names
+    assert not any(x in ("May",) for _, x in names) and not any(dst == "live/far" for _, _, dst in got)
 
 
 def test_questions(graph, spark, tmp_path):
