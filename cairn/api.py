@@ -88,4 +88,11 @@ class Graph:
         """Sections about a symbol: those that document it first, then those that mention it, within a budget of bytes."""
         e = self.edges.where(F.col("dst") == self._one(symbol)).where("kind in ('Documents', 'Mentions')")
         near = e.groupBy(F.col("src").alias("uid")).agg(F.min(F.when(F.col("kind") == "Documents", 1).otherwise(2)).alias("tier"), F.max("confidence").alias("confidence"))
-        return views.guidance(near.join(self.entries, "uid"), total, each)
+        docs = self.nodes.where("kind = 'DocSection'").select("uid", "path", F.regexp_extract("fqn", "#(.*)$", 1).alias("anchor"))
+        return views.guidance(near.join(docs, "uid").join(self.entries, "uid", "left"), total, each).orderBy("tier", F.col("confidence").desc(), "uid")
+
+    def section(self, symbol: str, anchor: str) -> DataFrame:
+        """uid, body of one section about a symbol, whole."""
+        e = self.edges.where(F.col("dst") == self._one(symbol)).where("kind in ('Documents', 'Mentions')").select(F.col("src").alias("uid")).distinct()
+        docs = self.nodes.where((F.col("kind") == "DocSection") & F.col("fqn").endswith(f"#{anchor}")).select("uid")
+        return docs.join(e, "uid", "left_semi").join(self.entries, "uid", "left")

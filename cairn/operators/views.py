@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn import schema
 from cairn.functions import scalars
+from cairn.store import settle
 
 from . import walk
 
@@ -128,9 +129,58 @@ def implicated_files(nodes: DataFrame, edges: DataFrame, uid: str) -> DataFrame:
     return near.join(nodes.select("uid", "path"), "uid").where("path <> ''").groupBy("path").agg(F.max("confidence").alias("confidence"))
 
 
+def cut_bytes(text: str, most: int) -> str:
+    """The longest start of a text that has at most so many bytes in UTF-8; no character is split."""
+    raw = text.encode()
+    return text if len(raw) <= most else raw[: max(most, 0)].decode(errors="ignore")
+
+
 def guidance(sections: DataFrame, total: int = 4800, each: int = 1200) -> DataFrame:
-    """uid, shown, bytes: bodies by tier, confidence and uid within a budget of bytes; a body beyond its share or what is left is cut, and then only references follow. sections: uid, tier, confidence, body."""
-    size = F.least(F.octet_length("body"), F.lit(each))
-    before = F.sum(size).over(Window.orderBy("tier", F.col("confidence").desc(), "uid").rowsBetween(Window.unboundedPreceding, -1))
-    left = F.greatest(F.lit(total) - F.coalesce(before, F.lit(0)), F.lit(0))
-    return sections.select("uid", F.least(size, left).cast("int").alias("bytes")).withColumn("shown", F.col("bytes") > 0)
+    """uid, tier, confidence, text, truncated, ref_only, note: bodies in order of tier, confidence and uid within a budget of bytes. sections: uid, tier, confidence, path, anchor, body (null: unavailable).
+
+    A body longer than its share or what is left, either less a marker's bytes, is
+    cut at a character and ends in the marker, which is paid for as well. Where not even one
+    character fits, the budget is spent. Once it is, sections are references only. Empty and
+    unavailable bodies cost nothing. As every body that is shown costs a byte or more, only
+    the first `total` bodies can change the budget: these alone, none longer than needed, meet in one task.
+    """
+    order = [F.col("tier").asc(), F.col("confidence").desc(), F.col("uid").asc()]
+    place = F.struct("tier", -F.col("confidence"), "uid")
+    # a character has a byte or more, so this start decides as the whole body does
+    first = sections.where("body <> ''").select("uid", "tier", "confidence", "path", "anchor", F.substring("body", 1, each + 1).alias("body")).orderBy(*order).limit(max(total, 0))
+
+    def spend(batches):
+        import pandas as pd
+
+        left = total
+        for b in batches:
+            rows = []
+            for uid, tier, confidence, path, anchor, body in b.itertuples(index=False):
+                if left == 0:
+                    break
+                marker = f"… [truncated — fetch {path}#{anchor}]"
+                shown = cut_bytes(body, min(each, left) - len(marker.encode()))
+                text = shown if shown == body else shown and shown + marker
+                left = left - len(text.encode()) if text else 0
+                rows.append((uid, tier, confidence, text, text != body, left))
+            yield pd.DataFrame(rows, columns=["uid", "tier", "confidence", "text", "truncated", "left"])
+
+    spent = first.coalesce(1).sortWithinPartitions(*order).mapInPandas(spend, "uid string, tier int, confidence float, text string, truncated boolean, left long")
+    spent = settle(spent)
+    end = spent.where("left = 0").agg(F.min(place).alias("end")) if total > 0 else None
+    out = sections.select("uid", F.col("tier").cast("int"), F.col("confidence").cast("float"), "body").join(spent.select("uid", "text", "truncated"), "uid", "left")
+    past = F.lit(True)
+    if end is not None:
+        out = out.join(F.broadcast(end), F.lit(True))
+        past = F.coalesce(place > F.col("end"), F.lit(False))
+    ref = past | F.coalesce((F.col("body") != "") & (F.coalesce("text", F.lit("")) == ""), F.lit(False))
+    note = F.when(F.col("body").isNull() & ~past, "body unavailable")
+    return out.select(
+        "uid", "tier", "confidence", F.when(past, "").otherwise(F.coalesce("text", F.lit(""))).alias("text"),
+        (~ref & F.coalesce("truncated", F.lit(False))).alias("truncated"), ref.alias("ref_only"), note.alias("note"),
+    )
+
+
+def path_matches(node_path: Column, file: Column) -> Column:
+    """Whether a vertex's path means a changed file: equal, or either ends in the other."""
+    return (node_path == file) | node_path.endswith(file) | file.endswith(node_path)

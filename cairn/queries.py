@@ -553,6 +553,58 @@ def rename_positions(spark, sf_dir):
     return overlay.rename_edits(d, "und").select("path", F.col("line").cast("long"), F.col("col").cast("long"))
 
 
+_SECTIONS = "SELECT concat('d', doc_id) AS uid, CAST(1 + doc_id % 2 AS INT) AS tier, CAST(CASE doc_id % 3 WHEN 0 THEN 0.95 WHEN 1 THEN 0.7 ELSE 0.35 END AS FLOAT) AS confidence, concat('docs/', coalesce(source, ''), '.md') AS path, concat('d', doc_id) AS anchor, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 7 <> 0 THEN text END AS body FROM documents"
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tier, confidence DESC, uid) AS i, concat('… [truncated — fetch ', path, '#', anchor, ']') AS marker FROM ({_SECTIONS})),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(20000 AS BIGINT) AS remains, '' AS shown, false AS truncated, false AS ref_only
+  UNION ALL SELECT i, CASE WHEN coalesce(body, '') = '' THEN remains WHEN part = '' THEN 0 WHEN part = body THEN remains - strlen(part) ELSE remains - strlen(part) - strlen(marker) END,
+    CASE WHEN coalesce(body, '') = '' OR part = '' THEN '' WHEN part = body THEN part ELSE concat(part, marker) END, coalesce(body, '') <> '' AND part <> '' AND part <> body, coalesce(body, '') <> '' AND part = ''
+  FROM (SELECT *, CASE WHEN strlen(body) <= room THEN body ELSE body[:list_max(list_filter(range(0, room + 1), lambda k: strlen(body[:k]) <= room))] END AS part
+    FROM (SELECT s.*, remains, greatest(0, least(1200, remains) - strlen(marker)) AS room FROM g JOIN s ON s.i = g.i + 1 WHERE remains > 0)))
+SELECT s.uid, s.tier, s.confidence, coalesce(shown, '') AS text, coalesce(truncated, false) AS truncated, coalesce(ref_only, true) AS ref_only, CASE WHEN g.i IS NOT NULL AND body IS NULL THEN 'body unavailable' END AS note FROM s LEFT JOIN g ON g.i = s.i""", graph=False)
+def guidance_budget(spark, sf_dir):
+    """Documents as sections about one symbol; some are empty or unavailable."""
+    return views.guidance(_sql(spark, sf_dir, _SECTIONS, "documents"), 20000, 1200)
+
+
+@query("""WITH l AS (SELECT concat('L', c_custkey) AS src, concat(CASE c_custkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN concat('t', c_nationkey, '/src/') ELSE concat('t', c_nationkey, '/') END, 'h', c_custkey % 40) AS stem FROM customer),
+m AS (SELECT DISTINCT concat(CASE s_suppkey % 2 WHEN 0 THEN 'src/' ELSE concat('t', s_nationkey, '/src/') END, 'h', s_suppkey % 40) AS stem, CASE s_suppkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.pyi' ELSE '.go' END AS ext FROM supplier)
+SELECT src, min(concat(stem, ext)) AS dst FROM l JOIN m USING (stem) WHERE ext <> '.go' GROUP BY src HAVING count(*) = 1""", graph=False)
+def link_infra_runs(spark, sf_dir):
+    """Customers as functions of their nation's template, suppliers as modules."""
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    k = F.col("c_custkey") % 3
+    lambdas = c.select(F.concat(F.lit("L"), "c_custkey").alias("uid"), F.concat(F.lit("t"), "c_nationkey", F.lit("/template.yaml")).alias("template"), F.when(k == 0, "../src").when(k == 1, "src/").alias("code_uri"), F.concat(F.lit("h"), F.col("c_custkey") % 40, F.lit(".main")).alias("handler"))
+    kind, at = F.col("s_suppkey") % 3, F.when(F.col("s_suppkey") % 2 == 0, "src/").otherwise(F.concat(F.lit("t"), "s_nationkey", F.lit("/src/")))
+    path = F.concat(at, F.lit("h"), F.col("s_suppkey") % 40, F.when(kind == 0, ".ts").when(kind == 1, ".pyi").otherwise(".go"))
+    return infra_links.runs(lambdas, s.select(path.alias("path"), path.alias("uid")).distinct())
+
+
+_POLICIES = "SELECT concat('P', o_orderkey) AS uid, concat('t', o_custkey % 10) AS template, concat('R', o_custkey % 50) AS one, concat('R', o_orderkey % 70) AS two, o_orderpriority AS action FROM orders"
+_ROLES = "SELECT concat('S', s_suppkey) AS uid, concat('t', s_suppkey % 10) AS template, concat('R', s_suppkey % 60) AS logical_id FROM supplier"
+
+
+@query(f"""WITH p AS (SELECT uid, template, one AS logical_id, action FROM ({_POLICIES}) UNION SELECT uid, template, two, action FROM ({_POLICIES})), r AS ({_ROLES}),
+m AS (SELECT DISTINCT r.uid AS role, p.uid AS policy, action FROM p JOIN r USING (template, logical_id))
+SELECT role, policy, action, (SELECT count(*) FROM orders) - (SELECT count(DISTINCT policy) FROM m) AS n_unattached FROM m""", graph=False)
+def attach_policies(spark, sf_dir):
+    """Orders as policies that name two roles, suppliers as roles."""
+    p = _sql(spark, sf_dir, _POLICIES, "orders").select("uid", "template", F.array("one", "two").alias("role_ids"), F.array("action").alias("granted"))
+    met, lost = infra_links.attach_policies(p, _sql(spark, sf_dir, _ROLES, "supplier"))
+    return met.select("role", "policy", F.explode("granted").alias("action")).join(lost, F.lit(True))
+
+
+@query("SELECT DISTINCT concat('U', a.c_custkey) AS src, concat('U', b.c_custkey) AS dst FROM orders JOIN customer a ON a.c_custkey = o_custkey JOIN customer b ON b.c_custkey = o_orderkey % 1000 AND b.c_nationkey = o_orderkey % 25", graph=False)
+def unit_dependencies(spark, sf_dir):
+    """Customers as units in their nation's folder, orders as what they depend on."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    path = F.concat(F.lit("live/n"), "c_nationkey", F.lit("/c"), "c_custkey", F.lit("/terragrunt.hcl"))
+    needs = o.join(c, o.o_custkey == c.c_custkey).select(path.alias("path"), F.concat(F.lit("../../n"), F.col("o_orderkey") % 25, F.lit("/c"), F.col("o_orderkey") % 1000).alias("config_path"))
+    return infra_links.unit_dependencies(needs, c.select(F.concat(F.lit("U"), "c_custkey").alias("uid"), path.alias("path")))
+
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.ranked(_QUERIES["impact_full"](spark, sf_dir))
 
