@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,3 +62,30 @@ def byte_views(column) -> tuple[np.ndarray, memoryview]:
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     return offsets, memoryview(data if data is not None else b"")
+
+
+def give_back() -> None:
+    """Return this process's free memory to the system, as far as its allocators can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def ending(run: Callable, forget: Callable[[], object] | None = None) -> Callable:
+    """run, a function of a task's batches, after which the worker forgets its tables and gives its memory back.
+
+    Workers outlive their task and wait beside those of later stages: what they keep adds up within an executor.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
+
+    return whole

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import byte_views, id_and_text
+from .common import byte_views, ending, id_and_text
 
 #: Bytes of a block, about.
 BLOCK = 512
@@ -134,4 +134,4 @@ def after_line_dedup(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows.append((before, len(edits), tree.total, tree.encoded))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(4))], names=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_bytes_encoded"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_bytes_encoded long")
+    return id_and_text(docs).mapInArrow(ending(run, tokens.forget), "doc_id long, n_tokens long, n_edits long, n_tokens_after long, n_bytes_encoded long")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.components import connected_components
 
-from .common import byte_views, drop, in_order, settle
+from .common import byte_views, drop, ending, in_order, settle
 
 SHINGLE, BANDS, ROWS = 3, 16, 4
 #: Bytes of sets, and sets, of a tile at most, about.
@@ -54,6 +54,13 @@ class WordHash(dict):
 
 
 _WORDS = WordHash()
+
+
+def forget() -> None:
+    """Empty the worker's table of words."""
+    _WORDS.clear()
+
+
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -129,7 +136,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("given"), pa.array(count), pa.array(names[:, 0]), pa.array(names[:, 1]), lists], names=["key", "given", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select("key", "given", "text").mapInArrow(sign, "key long, given long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select("key", "given", "text").mapInArrow(ending(sign, forget), "key long, given long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 class _Joined:
@@ -219,7 +226,7 @@ def shingle_sets(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["rep", "hashes"])
 
-    return rows.mapInArrow(make, "rep long, hashes binary").dropDuplicates(["rep"])
+    return rows.mapInArrow(ending(make, forget), "rep long, hashes binary").dropDuplicates(["rep"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,7 +245,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 near.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(ending(compare), "a long, b long")
 
 
 def linked_in_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,7 +272,7 @@ def linked_in_tiles(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
         if len(held) > 1:
             yield done(reps, known, held)
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(ending(compare), "a long, b long")
 
 
 def tiled(banded: DataFrame, shared: DataFrame, joined: DataFrame, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import byte_views, id_and_text, settle
+from .common import byte_views, ending, id_and_text, settle
 
 CAPACITY = 4096
 #: Groups of equal cardinality that the long lengths are rounded up within.
@@ -56,7 +56,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
             cols = np.array(rows, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[:, 0])), pa.array(cols[:, 1].astype(np.int32)), *(pa.array(cols[:, j]) for j in (2, 3, 4))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_and_text(docs).mapInArrow(cut, PIECES_SCHEMA)
+    return id_and_text(docs).mapInArrow(ending(cut, tokens.forget), PIECES_SCHEMA)
 
 
 class Run(NamedTuple):
@@ -230,4 +230,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, gro
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(run[:, 2] + nth // run[:, 3]), pa.array(run[:, 4] + nth % run[:, 3] * run[:, 5])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ordered.mapInArrow(place, PIECES_SCHEMA + ", sequence_id long, offset long")
+    return ordered.mapInArrow(ending(place), PIECES_SCHEMA + ", sequence_id long, offset long")

@@ -103,6 +103,12 @@ def chunk_ids(path: str) -> ChunkIds:
     return _TABLES[path]
 
 
+def forget() -> None:
+    """Empty the worker's tables of chunks; the vocabularies stay."""
+    for table in _TABLES.values():
+        table.clear()
+
+
 def encode(text: bytes, table: ChunkIds) -> bytes:
     """A text of Latin-1 without special tokens is lower-cased at once, so that fewer chunks differ."""
     if b"<|" not in text:
