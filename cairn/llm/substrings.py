@@ -7,7 +7,8 @@ sorted again by the rank of what follows, at doubled depth. Kasai's common
 prefixes of sorted neighbours tell which strings of 100 bytes are equal. (Kasai's
 step, that a suffix shares at most one byte less than the suffix before it in the
 text, holds with equality unless the bytes before differ; so only those exceptions
-are compared byte by byte and the rest follow from them in one pass.)
+are compared byte by byte and the rest follow from them in one pass. Neighbours
+that sorting told apart within 100 bytes need no prefix.)
 
 Across shards, what stays of each shard, its distinct strings, is merged by
 binary search. Equal strings must meet for that: the least hash of the 32-byte
@@ -64,33 +65,52 @@ def _way(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return way, key[way]
 
 
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in order; beyond the end counts as least."""
-    n = len(x)
-    if not n:
-        return np.zeros(0, np.int64)
-    # first by as many bytes as fit: letters are numbered from 1, 0 is beyond the end
+def _grams(x: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The numbers, in order, of the short strings at every place and, as zeros, beyond the end; bits of a number; bytes of a string."""
+    # letters are numbered from 1, 0 is beyond the end; of the strings of a few letters few occur, so that their numbers are short
     letters = np.bincount(x, minlength=256) > 0
-    code = np.cumsum(letters).astype(np.uint64)[x]
     bits = int(letters.sum()).bit_length()
-    depth = max(1, (64 - n.bit_length()) // bits)
-    padded, key = np.concatenate([code, np.zeros(depth, np.uint64)]), np.zeros(n, np.uint64)
-    for k in range(depth):
-        key = (key << np.uint64(bits)) | padded[k : k + n]
-    order, key = _way(key, bits * depth)
-    rank, tied = np.empty(n, np.int64), np.arange(n)
-    suffix = order
+    size = min(21 // bits, 64)
+    code = np.concatenate([np.cumsum(letters).astype(np.uint32)[x], np.zeros(64 + size, np.uint32)])
+    gram = np.zeros(len(code) - size + 1, np.uint32)
+    for k in range(size):
+        gram = (gram << np.uint32(bits)) | code[k : k + len(gram)]
+    found = np.zeros(1 << (bits * size), bool)
+    found[gram] = True
+    number = np.cumsum(found, dtype=np.uint32) - np.uint32(1)
+    return number[gram].astype(np.uint64), max(1, int(number[-1]).bit_length()), size
+
+
+def refined(x: np.ndarray, length: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Starts of all suffixes in order, beyond the end counts as least; the places there of those that agree with the one before in some bytes; and how many bytes, at most `length`."""
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    # first by as many bytes as fit
+    gram, bits, size = _grams(x)
+    pieces = max(1, min((64 - n.bit_length()) // bits, 64 // size))
+    key, depth = np.zeros(n, np.uint64), pieces * size
+    for k in range(pieces):
+        key = (key << np.uint64(bits)) | gram[k * size : k * size + n]
+    order, key = _way(key, bits * pieces)
+    # ranks are read at random: as small numbers more of them are near
+    rank, tied = np.empty(n, np.int32 if n < 1 << 31 else np.int64), np.arange(n)
+    suffix, close, agree = order, tied[1:], 0
     while True:
         head = np.concatenate([[True], key[1:] != key[:-1]])
+        if depth <= length:
+            close, agree = tied[~head], depth
         begin = np.nonzero(head)[0]
         rank[suffix] = np.repeat(tied[begin], np.diff(np.append(begin, len(tied))))
         again = ~head | np.append(~head[1:], False)
         tied = tied[again]
         if not len(tied):
-            return order
+            return order, close, agree
         suffix, group = order[tied], np.cumsum(head[again]) - 1
         after = suffix + depth
-        follows = np.where(after < n, rank[np.minimum(after, n - 1)] + depth + 1, n - suffix)
+        follows = rank[np.minimum(after, n - 1)] + np.int64(depth + 1)
+        beyond = np.nonzero(after >= n)[0]
+        follows[beyond] = n - suffix[beyond]
         wide = (n + depth + 1).bit_length()
         way, key = _way((group.astype(np.uint64) << np.uint64(wide)) | follows.astype(np.uint64), int(group[-1]).bit_length() + wide)
         suffix = suffix[way]
@@ -98,6 +118,11 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
         depth *= 2
 
 
+def suffix_array(x: np.ndarray) -> np.ndarray:
+    """Starts of all suffixes in order; beyond the end counts as least."""
+    return refined(x)[0]
+
+
 def _agree(x: np.ndarray, a: int, b: int, done: int) -> int:
     most, step = len(x) - max(a, b), 1024
     while done < most:
@@ -109,20 +134,18 @@ def _agree(x: np.ndarray, a: int, b: int, done: int) -> int:
     return most
 
 
-def common_prefixes(x: np.ndarray, order: np.ndarray, word: np.ndarray | None = None) -> np.ndarray:
-    """How many bytes each suffix, in order, shares with the one before it."""
-    n = len(x)
-    if not n:
-        return np.zeros(0, np.int64)
-    word = words_at(x) if word is None else word
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    follows = np.zeros(n, bool)  # its value is that of the suffix one place earlier, less one
-    follows[1:] = (before[1:] > 0) & (x[:-1] == x[before[1:] - 1])
+def prefixes_at(x: np.ndarray, order: np.ndarray, close: np.ndarray, agree: int) -> np.ndarray:
+    """How many bytes the suffixes at the places `close` of the order share with the one before. All that share `agree` bytes are there, and no others."""
+    n, word = len(x), words_at(x)
+    way = np.argsort(order[close])
+    place = close[way]
+    a, b = order[place], order[place - 1]
+    # its value is that of the suffix one place earlier in the text, less one
+    follows = np.concatenate([[False], (np.diff(a) == 1) & (np.diff(b) == 1) & (x[a[:-1]] == x[b[:-1]])])[: len(a)]
     own = np.nonzero(~follows)[0]
-    a, b = own, before[own]
-    shared = np.zeros(len(own), np.int64)
-    active = np.nonzero(b >= 0)[0]
+    a, b = a[own], b[own]
+    shared = np.full(len(own), agree)
+    active = np.arange(len(own))
     while len(active) > 200:
         p, q = a[active] + shared[active], b[active] + shared[active]
         d = word[np.minimum(p, n)] ^ word[np.minimum(q, n)]
@@ -133,16 +156,23 @@ def common_prefixes(x: np.ndarray, order: np.ndarray, word: np.ndarray | None =
         active = active[(same == 8) & (np.maximum(p, q) + 8 < n)]
     for k in active.tolist():
         shared[k] = _agree(x, int(a[k]), int(b[k]), int(shared[k]))
-    shared = np.where(b >= 0, np.minimum(shared, n - np.maximum(a, b)), 0)
-    by_place = np.repeat(shared + own, np.diff(np.append(own, n))) - np.arange(n)
-    return by_place[order]
+    shared = np.minimum(shared, n - np.maximum(a, b))
+    times = np.diff(np.append(own, len(way)))
+    out = np.empty(len(way), np.int64)
+    out[way] = np.repeat(shared + own, times) - np.arange(len(way))
+    return out
+
+
+def common_prefixes(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix, in order, shares with the one before it."""
+    return np.concatenate([[0], prefixes_at(x, order, np.arange(1, len(x)), 0)])[: len(x)].astype(np.int64)
 
 
 def repeats(x: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Of the valid starts, those of strings that start earlier in x as well."""
-    word = words_at(x)
-    order = suffix_array(x)
-    near = common_prefixes(x, order, word) >= length
+    order, close, agree = refined(x, length)
+    near = np.zeros(len(x), bool)
+    near[close[prefixes_at(x, order, close, agree) >= length]] = True
     met = np.nonzero(near | np.append(near[1:], False)[: len(near)])[0]
     start, group = order[met], np.cumsum(~near[met])
     usable = valid[start]
@@ -200,6 +230,14 @@ def _stretches(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
+def in_stretches(key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, first start, number of starts that follow one another there."""
+    way = np.lexsort((start, key))
+    key, start = key[way], start[way]
+    begin = np.nonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(start) != 1)])[: len(key)])[0]
+    return key[begin], start[begin], np.diff(np.append(begin, len(key)))
+
+
 def shards(texts: DataFrame, length: int = LENGTH, size: int = SHARD) -> DataFrame:
     """anchor, key, at, n, shard. With an anchor: a segment of strings the shard has not had before; at is start * 2^14 + strings * 2^7 + anchor's place. Without: n strings from the start `at` on, which the shard had before."""
     names = ["anchor", "key", "at", "n", "shard"]
@@ -315,7 +353,8 @@ def merged(rows: list[tuple], length: int = LENGTH, gram: int = GRAM) -> list[tu
             runs.append(Run(strings[way], key[way], start[way]))
         while len(runs) > 1:
             runs = [runs[k].merge(runs[k + 1], later) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
-        found += [(k, s, np.ones(len(k), np.int64)) for k, s in later]
+        if later:
+            found.append(in_stretches(*(np.concatenate([x[k] for x in later]) for k in (0, 1))))
     return found
 
 

@@ -82,3 +82,30 @@ def test_repeated_rows_and_ids_with_several_texts(spark):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed > 0) for r in substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     n = len(passage.encode())
     assert got == Counter({(1, n + 1, True): 2, (2, n + 1, True): 1, (2, n + 2, True): 1, (3, n + 1, True): 1, (3, 0, False): 1})
+
+
+def test_prefixes_of_suffixes_that_agree_are_those_of_all():
+    """Sorting tells which neighbours agree in some bytes; only theirs are compared further, and repeats come out as by plain Python."""
+    for b in [*texts_of_few_letters(3), b"", b"a", b"ab" * 200, bytes(range(256)) * 2]:
+        x = np.frombuffer(b, np.uint8)
+        for length in (3, 12, 30, 100):
+            order, close, agree = substrings.refined(x, length)
+            assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+            assert agree <= length
+            shared = substrings.common_prefixes(x, order)
+            assert sorted(close.tolist()) == [r for r in range(1, len(b)) if shared[r] >= agree]
+            assert (substrings.prefixes_at(x, order, close, agree) == shared[close]).all()
+            valid = np.arange(len(b)) + length <= len(b)
+            seen, later = set(), []
+            for i in range(len(b)):
+                later.append(bool(valid[i]) and b[i : i + length] in seen)
+                seen.add(b[i : i + length])
+            assert substrings.repeats(x, valid, length).tolist() == later
+
+
+def test_merged_strings_come_as_stretches():
+    """Strings of two shards that follow one another are one row."""
+    rng = random.Random(4)
+    passage = bytes(rng.randrange(97, 123) for _ in range(160))
+    rows = [(7, 1, 0, 64, 0, passage), (7, 2, 50, 65, 1, b"-" + passage)]
+    assert [tuple(c.tolist() for c in columns) for columns in substrings.merged(rows)] == [([2], [51], [61])]
