@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators.components import connected_components
 
-from .common import byte_views, drop, ending, in_order, settle
+from .common import byte_views, drop, ending, in_order, perhaps_among, settle, with_value
 
 SHINGLE, BANDS, ROWS = 3, 16, 4
 #: Bytes of sets, and sets, of a tile at most, about.
@@ -208,8 +208,9 @@ def links_among(sets: list[np.ndarray], percent: int, known: list[int] | None =
 
 
 def shingle_sets(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """rep, hashes: the whole sets of the classes. classes: rep, set_a, set_b. docs: as in_order."""
-    rows = classes.join(docs, classes.rep == docs.key).select("rep", "set_a", "set_b", "text")
+    """rep, hashes: the whole sets of the classes. classes: settled, rep, set_a, set_b. docs: as in_order."""
+    texts = perhaps_among(docs.select("key", "text"), classes.select(F.col("rep").alias("key")))
+    rows = classes.join(texts, classes.rep == texts.key).select("rep", "set_a", "set_b", "text")
 
     def make(batches):
         import pyarrow as pa
@@ -310,7 +311,7 @@ def components_of(docs: DataFrame, percent: int, size: int, bands: int = BANDS,
     shared = banded.groupBy("band", "value").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("members")).where("members > 1")
     shared = settle(shared.select("band", "value", F.col("h.rep").alias("head"), F.col("h.n").alias("head_n"), "members"))
     met = settle(banded.join(shared, ["band", "value"]).select("rep", "n", "band", "value", "head", "head_n"))
-    whole = met.select("rep").distinct().join(classes, "rep").select("rep", "set_a", "set_b")
+    whole = settle(met.select("rep").distinct().join(classes, "rep").select("rep", "set_a", "set_b"))
     sets = settle(shingle_sets(whole, docs, size))
     # of very different sizes no two sets are near
     alike = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
@@ -318,7 +319,7 @@ def components_of(docs: DataFrame, percent: int, size: int, bands: int = BANDS,
     with_first = settle(confirmed(pairs, sets, percent))
     joined = connected_components(with_first)
     rest = settle(linked_in_tiles(tiled(met.select("rep", "n", "band", "value"), shared, joined), sets, percent))
-    drop(joined, sets, met, shared)
+    drop(joined, sets, whole, met, shared)
     linked = connected_components(with_first.unionByName(rest))
     named = settle(classes.join(linked, classes.rep == linked.node, "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
     drop(classes, linked, with_first, rest)
@@ -329,8 +330,10 @@ def components_of(docs: DataFrame, percent: int, size: int, bands: int = BANDS,
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The documents that stay, with all columns they came with: of each component the one of the smallest doc_id (of a component without doc_ids one of the rows), and of repeated rows one."""
     rows = in_order(docs)
-    stay = settle(components_of(rows, percent, size).where(F.col("key") == F.col("component")).groupBy("key").agg(F.count("*").alias("_rows")).withColumnRenamed("key", "_key"))
-    kept = rows.join(stay, rows["key"] == stay["_key"]).select("key", "_document")
-    if not stay.where("_rows > 1").isEmpty():
-        kept = kept.groupBy("key").agg(F.min_by("_document", F.hash("_document")).alias("_document"))
-    return kept.select("_document.*")
+    stays = F.col("key") == F.col("component")
+    times = settle(components_of(rows, percent, size).groupBy("key").agg(F.when(~F.first(stays), 0).when(F.count("*") > 1, 2).otherwise(1).alias("value")))
+    kept = with_value(rows.select("key", "_document"), times).where("value > 0")
+    if times.where("value = 2").isEmpty():
+        return kept.select("_document.*")
+    again = kept.where("value = 2").groupBy("key").agg(F.min_by("_document", F.hash("_document")).alias("_document"))
+    return kept.where("value = 1").select("_document").unionByName(again.select("_document")).select("_document.*")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_order, n_words, settle
+from .common import in_order, n_words, settle, with_value
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -138,11 +138,12 @@ def remix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK
     """Every document as often as the mix takes it, with all columns it came with. Repeated rows share what they are taken, the first of them the odd ones."""
     whole = in_order(docs)
     named = whole.select(F.col("key").alias("doc_id"), F.col("_document").getField("source").alias("source"), "text")
-    chosen = settle(mix(named, weights, most, block).groupBy("doc_id").agg(F.sum("times").alias("_n"), F.count("*").alias("_rows"))).where("_n > 0")
-    joined = whole.select("key", "_document").join(chosen, whole["key"] == chosen["doc_id"])
-    share = F.col("_n")
+    chosen = settle(mix(named, weights, most, block).groupBy(F.col("doc_id").alias("key")).agg(F.sum("times").alias("_n"), F.count("*").alias("_rows"), F.when(F.count("*") == 1, F.sum("times")).otherwise(-1).cast("int").alias("value")))
+    valued = with_value(whole.select("key", "_document"), chosen)
+    taken = valued.select("_document", F.col("value").alias("_share"))
     if not chosen.where("_rows > 1").isEmpty():
+        repeated = valued.where("value = -1").join(chosen.select("key", "_n", "_rows"), "key")
         nth = F.row_number().over(Window.partitionBy("key").orderBy(F.hash("_document")))
-        joined = joined.withColumn("_nth", nth)
-        share = F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_share", share.cast("int")).where("_share > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_share")))).select("_document.*")
+        share = F.floor(F.col("_n") / F.col("_rows")) + F.when(nth <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
+        taken = taken.where("_share >= 0").unionByName(repeated.select("_document", share.cast("int").alias("_share")))
+    return taken.where("_share > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_share")))).select("_document.*")
