@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from cairn.operators import infra_links
+from cairn.operators import infra_links, linkers
 from cairn.sources import extract, python_code
 
 from .test_fan_out import unmoved
@@ -28,3 +28,14 @@ def test_policies_meet_roles_once(spark):
     assert first.nodeName() == "Generate"
 
 
+def test_mentions_of_a_section(spark):
+    targets = [("u1", "a.py", "m.f", "f", False), ("u2", "b.py", "n.f", "f", False), ("u3", "c.py", "<module>", "c", True), ("u4", "d.py", "g", "g", False), ("u4", "e.py", "g", "g", False)]
+    refs = [("s1", "x.md", "f", "code"), ("s2", "a.py", "f", "code"), ("s3", "x.md", "m.f", "fence"), ("s3", "x.md", "f", "code"), ("s4", "x.md", "c.py", "path"), ("s4", "x.md", "c.py", "code"), ("s5", "d.py", "g", "code"), ("s6", "x.md", "m.f", "code"), ("s6", "x.md", "m.f", "fence"), (None, "x.md", "m.f", "code")]
+    met = linkers.link_mentions(spark.createDataFrame(refs, "section string, doc string, ref string, form string"), spark.createDataFrame(targets, "uid string, path string, fqn string, name string, path_bearing boolean"))
+    got = Counter((r.section, r.uid, r.tier, r.provenance, round(r.confidence, 2)) for r in met.collect())
+    assert got == Counter([
+        ("s1", "u1", 3, "Ambiguous", 0.35), ("s1", "u2", 3, "Ambiguous", 0.35), ("s2", "u2", 3, "Ambiguous", 0.35), ("s3", "u1", 2, "Inferred", 0.8), ("s3", "u2", 3, "Ambiguous", 0.35),
+        ("s4", "u3", 1, "Extracted", 0.95), ("s5", "u4", 2, "Ambiguous", 0.35), ("s6", "u1", 2, "Ambiguous", 0.35), (None, "u1", 2, "Inferred", 0.8),
+    ])
+
+
