@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from cairn.operators import infra_links, linkers
+from cairn.operators import code_links, infra_links, linkers
 from cairn.sources import extract, python_code
 
 from .test_fan_out import unmoved
@@ -39,3 +39,11 @@ def test_mentions_of_a_section(spark):
     ])
 
 
+def test_handlers_without_pairs(spark):
+    routes = spark.createDataFrame([(1, "f", "h", "<module>"), (2, "f", "no", "<module>"), (3, "g", "h", "<module>"), (4, "f", "k", "z")], "route long, file string, handler string, enclosing_fqn string")
+    symbols = spark.createDataFrame([("a", "f", "h", "A.h"), ("b", "f", "h", "h"), ("m", "f", "-", "<module>"), ("c", "f", "k", "B.k"), ("d", "f", "k", "A.k")], "uid string, file string, name string, fqn string")
+    met = code_links.handler_or_enclosing(routes, symbols)
+    assert {(r.route, r.uid) for r in met.collect()} == {(1, "b"), (2, "m"), (4, "d")}
+    assert "Window" not in plan(met)
+
+
