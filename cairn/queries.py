@@ -505,6 +505,7 @@ def extract_python_calls(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
     one = F.concat(F.lit("def C"), "c_custkey", F.lit("():\n    return "), F.when(F.col("c_acctbal") > 0, "bank.").otherwise(""), F.lit("seg_"), F.lower("c_mktsegment"), F.lit("('call(1)')  # call(2)\n"))
     files = c.groupBy(F.concat(F.lit("n"), "c_nationkey", F.lit(".py")).alias("path")).agg(F.array_join(F.collect_list(one), "\n").alias("text"))
+    files = files.repartition(4 * spark.sparkContext.defaultParallelism, "path")  # their texts pack so well that all would meet in one task
     return python_code.facts(files).where("record = 'call'").select("file", "owner", "name", F.col("value").alias("receiver"))
 
 

@@ -47,3 +47,23 @@ def test_handlers_without_pairs(spark):
     assert "Window" not in plan(met)
 
 
+PARTS = '"""x\ndef no():\n"""\nimport a\n\n@a.get("/x")\ndef f():\n    g("""\ndef no(): h()\n""")\n\nif a:\n    k()\nelse:\n    l()\nclass C:\n    def m(self):\n        self.n()\r\n    def n(self): pass\ntry:\n    o()\nexcept E:\n    pass\nasync def p(): q()\nr = (\n1)\n'
+
+
+@pytest.mark.parametrize("size", [1, 20, 60, 10_000])
+def test_files_are_parsed_in_pieces(monkeypatch, size):
+    whole = python_code.parse("a.py", PARTS)
+    monkeypatch.setattr(python_code, "PIECE", size)
+    pieces = [t for t, _ in python_code.trees(PARTS)]
+    assert python_code.parse("a.py", PARTS) == whole
+    assert (len(pieces) > 3) == (size < 60) or size == 60
+    with pytest.raises(ValueError, match=r"line 28\)"):
+        python_code.parse("a.py", PARTS + "\ndef bad(:\n    pass\n")
+
+
+def test_one_error_for_a_file_that_breaks_late(spark, monkeypatch):
+    monkeypatch.setattr(python_code, "PIECE", 10)
+    monkeypatch.setattr(extract, "ROWS", 2)
+    files = spark.createDataFrame([("a.py", PARTS + "def bad(:\n"), ("b.py", "def f():\n    g()\n    h()\n")], "path string, text string")
+    got = Counter((r.file, r.record) for r in python_code.facts(files).collect())
+    assert got == Counter({("a.py", None): 1, ("b.py", "symbol"): 1, ("b.py", "call"): 2})
