@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks at least in which sites are grouped.
+PARTS = 128
+
 
 def resolve_sites(sites: DataFrame, occurrences: DataFrame, definitions: DataFrame, symbols: DataFrame) -> DataFrame:
     """site, uid, tier: where the index says a call goes, as the symbol of that file, line and name, else the only one of that file and name.
@@ -29,13 +32,18 @@ def supersede(found: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def differential(found: DataFrame, resolved: DataFrame) -> DataFrame:
     """site, n_found, covered, confirmed: how many targets the linkers gave, whether the index settles the site, and whether its target is among them. found: site, uid; resolved: site, uid."""
-    given = found.select("site", "uid").distinct()
-    hit = given.join(resolved.select("site", "uid").distinct(), ["site", "uid"]).select("site").distinct().withColumn("confirmed", F.lit(True))
-    sums = given.groupBy("site").agg(F.count("*").alias("n_found"))
-    settled = resolved.select("site").distinct().withColumn("covered", F.lit(True))
-    out = sums.join(settled, "site", "full_outer").join(hit, "site", "left")
-    no = F.lit(False)
-    return out.select("site", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("covered", no).alias("covered"), F.coalesce("confirmed", no).alias("confirmed"))
+    given = found.select("site", "uid", F.lit(1).alias("f"), F.lit(0).alias("r"))
+    told = resolved.select("site", "uid", F.lit(0).alias("f"), F.lit(1).alias("r"))
+    # unknown sites and targets equal nothing; a settled site of that kind is apart from a found one
+    apart = F.when(F.col("site").isNull(), F.col("f")).otherwise(0).alias("apart")
+    both = given.unionByName(told).select("site", apart, "uid", "f", "r")
+    # dealt before they are grouped, so that the tables of a task don't stand beside the sorts of the join that gives the rows
+    spark = found.sparkSession
+    tasks = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    targets = both.repartition(tasks, "site", "apart").groupBy("site", "apart", "uid").agg(F.max("f").alias("f"), F.max("r").alias("r"))
+    hit = F.when(F.col("uid").isNotNull() & F.col("site").isNotNull(), F.col("f") * F.col("r")).otherwise(0)
+    out = targets.groupBy("site", "apart").agg(F.sum("f").alias("n_found"), (F.max("r") == 1).alias("covered"), (F.max(hit) == 1).alias("confirmed"))
+    return out.select("site", "n_found", "covered", "confirmed")
 
 
 def _whole(name: str) -> str:

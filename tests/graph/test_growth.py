@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from cairn.operators import code_links, infra_links, linkers
+from cairn.operators import code_links, infra_links, linkers, overlay
 from cairn.sources import extract, python_code
 
 from .test_fan_out import unmoved
@@ -47,6 +47,14 @@ def test_handlers_without_pairs(spark):
     assert "Window" not in plan(met)
 
 
+def test_differential_without_joins(spark):
+    found = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a"), (4, None)], "site long, uid string")
+    told = spark.createDataFrame([(1, "b"), (2, "c"), (3, "a"), (None, "a"), (4, None)], "site long, uid string")
+    out = overlay.differential(found, told)
+    assert Counter(tuple(r) for r in out.collect()) == Counter([(1, 2, True, True), (2, 1, True, False), (3, 0, True, False), (None, 1, False, False), (None, 0, True, False), (4, 1, True, False)])
+    assert "Join" not in plan(out)
+
+
 PARTS = '"""x\ndef no():\n"""\nimport a\n\n@a.get("/x")\ndef f():\n    g("""\ndef no(): h()\n""")\n\nif a:\n    k()\nelse:\n    l()\nclass C:\n    def m(self):\n        self.n()\r\n    def n(self): pass\ntry:\n    o()\nexcept E:\n    pass\nasync def p(): q()\nr = (\n1)\n'
 
 
